@@ -82,3 +82,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
+
+
+def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and a 64-bit hash of each run of places that are `inside`; the hash is of the values in order."""
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    new = np.concatenate(([True], at[1:] != at[:-1] + 1))
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(at)))
+    place = (np.arange(len(at)) - np.repeat(first, length)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        each = mix64((values[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xC2B2AE3D27D4EB4F))
+        return at[first], length, mix64(np.add.reduceat(each, first) + length.astype(np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, minhash, mixing, pii, sharding
+from . import ann, bpe, fingerprints, langid, lm, minhash, mixing, pii, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth."""
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 0.8 of their 2-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -41,6 +46,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text by a word n-gram model."""
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
     return fingerprints.digest(table(spark, sf_dir, "documents"))
@@ -52,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_bpe, op2_pii, op4_minhash, op5_langid, op6_sharding, op9_fingerprints, op10_mixing]
+    own = [op1_bpe, op2_pii, op3_ann, op4_minhash, op5_langid, op6_sharding, op7_toxicity, op8_lm, op9_fingerprints, op10_mixing]
     return {f.__name__: f for f in own}
 
 

@@ -1,0 +1,68 @@
+import hashlib
+import re
+
+from fieldglass.llm import pii
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def holds(kind, m):
+    digits = [int(c) for c in m if c.isdigit() and c.isascii()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        doubled = [d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def base(text):
+    spans = []
+    for order, (kind, pattern) in enumerate(BASE):
+        spans += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text or "") if holds(kind, m.group())]
+    spans.sort()
+    return spans
+
+
+def check(rows, texts):
+    for r in rows:
+        spans = base(texts[r["doc_id"]])
+        shown = [f"{k}:{a}:{b}" for a, _, k, b in spans]
+        assert [r[f"n_{k}"] for k, _ in BASE] == [sum(s[2] == k for s in spans) for k, _ in BASE], r
+        assert r["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest(), (r, shown)
+        assert [s for s in r["spans"].split(",") if s and s.split(":")[0] in dict(BASE)] == shown
+
+
+def test_whole_table_against_brute_force(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = pii.digest(docs).collect()
+    assert len(rows) == len(texts)
+    check(rows, texts)
+    assert sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in rows) > 0
+
+
+def test_odd_rows(odd, none, spark):
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    rows = pii.digest(odd).collect()
+    assert len(rows) == odd.count()
+    check(rows, texts)
+    assert any("iban:5:32" in r["spans"] and "ssn:" in r["spans"] for r in rows)
+    assert pii.digest(none).collect() == []
+
+
+def test_tricky_matches(spark):
+    texts = ["1.2.3.4.5.6.7.8.9", "a@b.c@d.e", "a@b a@b.c.d-", "300.1.1.1 1.1.1.300", "0000000000000", "4111-1111 1111-1111 4111", "+1 2 3 4 5 6 7 8 9 +12", "é@b.co 漢字 x@y.zz", "+1+23456789012", "1." * 500 + "1", "a" * 3000 + "@" + "b" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check(pii.digest(df).collect(), dict(enumerate(texts)))
+
+
+def test_redaction_and_scores(spark):
+    df = pii.find_pii(spark.createDataFrame([(1, "call +1 555 123 4567 now, or mail bob@example.com")], "doc_id bigint, text string"))
+    row = df.select("pii", pii.redacted(df["text"], df["pii"]).alias("r")).first()
+    assert row["r"] == "call [phone] now, or mail [email]"
+    assert all(0.6 < s["score"] <= 1 for s in row["pii"])
