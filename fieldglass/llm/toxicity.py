@@ -50,7 +50,7 @@ LEXICONS = {
 READER = "you your youre yourself u ur tú tu usted vous toi votre du dich dir sie ihr"
 DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
-VOTERS = [*LEXICONS, "mined", "several", "aimed", "disguised", "loud_insult", "shouting", "exclaiming", "symbols", "repeating", "clean"]
+VOTERS = [*LEXICONS, "mined", "several", "dense", "aimed", "disguised", "loud_insult", "shouting", "exclaiming", "symbols", "repeating", "clean"]
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -64,6 +64,17 @@ def lists() -> dict[str, np.ndarray]:
     return {k: np.sort(hash_words(v.split())) for k, v in LEXICONS.items()}
 
 
+@dataclass
+class Vocabulary:
+    """Sorted word hashes by list; "mined" is one of the lists."""
+
+    lists: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(mined: np.ndarray, without: np.ndarray) -> Vocabulary:
+        return Vocabulary({k: v[~np.isin(v, without)] for k, v in lists().items()} | {"mined": mined})
+
+
 @functools.cache
 def reader() -> np.ndarray:
     return np.sort(hash_words(READER.split()))
@@ -106,7 +117,7 @@ def words_of(flat: np.ndarray, ends: np.ndarray) -> Words:
     return Words(doc, hashes, loud, len(ends), np.bincount(doc, minlength=len(ends)))
 
 
-def look(texts: list[str], mined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def look(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Votes (texts x voters) and features (texts x (listed words + mined words + voters + densities))."""
     flat, ends = codepoints(texts)
     w = words_of(flat, ends)
@@ -118,7 +129,7 @@ def look(texts: list[str], mined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = lambda mask: np.bincount(w.doc[mask], minlength=n)
     insult = np.zeros(len(w.hashes), bool)
     columns = []
-    for name, known in {**lists(), "mined": mined}.items():
+    for name, known in vocabulary.lists.items():
         at = among(w.hashes, known)
         hit = at >= 0
         insult |= hit
@@ -128,6 +139,7 @@ def look(texts: list[str], mined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         columns.append(each)
     insults = count(insult)
     vote("several", insults >= 2)
+    vote("dense", 150 * insults > size)
     near = among(w.hashes, reader()) >= 0
     aimed = np.zeros(len(near), bool)
     for k in range(1, 5):  # a word to the reader up to four words before or after
@@ -143,7 +155,7 @@ def look(texts: list[str], mined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, length, hashes = run_hashes(lower_table()[odd], letter)
         signs = np.concatenate(([0], np.cumsum(masked)))
         hidden = (signs[begin + length] > signs[begin]) & (length > 3)
-        hidden &= np.logical_or.reduce([among(hashes, k) >= 0 for k in (*lists().values(), mined)])
+        hidden &= np.logical_or.reduce([among(hashes, k) >= 0 for k in vocabulary.lists.values()])
         vote("disguised", np.bincount(np.searchsorted(ends, begin[hidden]), minlength=n) > 0)
     vote("loud_insult", count(insult & w.loud) > 0)
     louds = count(w.loud) / size
@@ -170,8 +182,8 @@ def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df if n <= rows else df.where(F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
-def mined_words(labelled: DataFrame) -> np.ndarray:
-    """Hashes of the words that tell toxic rows of (text, toxic) from others; from MINED_ROWS rows at most."""
+def mined_words(labelled: DataFrame) -> Vocabulary:
+    """The lists with the words that tell toxic rows of (text, toxic) from others, without words that labels contradict; from MINED_ROWS rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, chars=CHARS):
@@ -184,7 +196,7 @@ def mined_words(labelled: DataFrame) -> np.ndarray:
     toxic = rows.column("toxic").to_numpy().astype(bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
-        return np.empty(0, np.uint64)
+        return Vocabulary.of(np.empty(0, np.uint64), np.empty(0, np.uint64))
     words = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
     unique, where = np.unique(np.concatenate(words), return_inverse=True)
     of = np.repeat(toxic, [len(x) for x in words])
@@ -195,7 +207,8 @@ def mined_words(labelled: DataFrame) -> np.ndarray:
     # A word of a label's noise is in few texts; one that marks a class has most of its texts there.
     good = (z > Z) & (k1 >= LEAST_TEXTS) & (k1 > 0.5 * k)
     best = np.flatnonzero(good)[np.argsort(-z[good], kind="stable")][:MOST_WORDS]
-    return np.sort(unique[best])
+    against = unique[(k >= LEAST_TEXTS) & (k1 < 0.5 * k)]
+    return Vocabulary.of(np.sort(np.setdiff1d(unique[best], np.concatenate(list(lists().values())))), against)
 
 
 @dataclass
@@ -248,12 +261,12 @@ def label_model(votes: np.ndarray, label: np.ndarray, n: np.ndarray) -> LabelMod
 
 @dataclass
 class Classifier:
-    mined: np.ndarray
+    vocabulary: Vocabulary
     weights: np.ndarray
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(look(texts, self.mined)[1] @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(look(texts, self.vocabulary)[1] @ self.weights + self.bias, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -274,8 +287,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def learn(df: DataFrame) -> Classifier:
     """From (text, label): label is 0 or 1 for training rows, null for all others."""
-    mined = mined_words(df.where("label is not null").select("text", F.col("label").alias("toxic")))
-    held = df.sparkSession.sparkContext.broadcast(mined)
+    vocabulary = mined_words(df.where("label is not null").select("text", F.col("label").alias("toxic")))
+    held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, chars=CHARS):
@@ -287,7 +300,7 @@ def learn(df: DataFrame) -> Classifier:
     votes_of = lambda p: (p[:, None] >> np.arange(len(VOTERS))) & 1 == 1
     patterns = counts.column("pattern").to_numpy()
     if not len(patterns):
-        return Classifier(mined, np.zeros(look([""], mined)[1].shape[1]), 0.0)
+        return Classifier(vocabulary, np.zeros(look([""], vocabulary)[1].shape[1]), 0.0)
     model = label_model(votes_of(patterns), counts.column("label").fill_null(-1).to_numpy(), counts.column("n").to_numpy().astype(float))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,10 +309,10 @@ def learn(df: DataFrame) -> Classifier:
             yield pa.RecordBatch.from_arrays([pa.array(pattern(votes)), batch.column("label"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["pattern", "label", "x"])
 
     fit = sampled(df.select("text", "label"), FIT_ROWS, "text").mapInArrow(features, "pattern bigint, label int, x binary").toArrow()
-    width = look([""], mined)[1].shape[1]
+    width = look([""], vocabulary)[1].shape[1]
     x = np.frombuffer(b"".join(fit.column("x").to_pylist()), np.float16).reshape(-1, width)
     y = model.posterior(votes_of(fit.column("pattern").to_numpy()), fit.column("label").fill_null(-1).to_numpy())
-    return Classifier(mined, *logistic(x, y))
+    return Classifier(vocabulary, *logistic(x, y))
 
 
 def scored(df: DataFrame, classifier: Classifier, column: str = "text") -> DataFrame:
