@@ -11,6 +11,7 @@ representatives, and only members that are still in different components are the
 components is lost. Components come from alternating stars; every step is a partial aggregation and a join, and goes to
 a table in the shared folder.
 
+A row without an id has one from its group, if any row of it has one, and is kept if none has.
 A text without words, or null, has an empty set, is linked with nothing and is kept. With fewer words than a shingle
 takes, the whole sequence is the one shingle. Every row gets a row; rows of one id are treated by their texts.
 An empty table gives an empty result. Columns named like an output are dropped first.
@@ -194,7 +195,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, docs: DataF
     likely = written(likely.select("a", "b"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = sketch.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = written(node_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node"]))
+    sets = written(node_sets(docs.select("doc_id", "text").join(ids.toDF("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), size).dropDuplicates(["node"]))
     of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
     counted = shared_counts(likely.join(of("a"), "a").join(of("b"), "b"))
     return written(counted.where(100 * F.col("n_both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"))
@@ -267,4 +268,4 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     rows = sketch.select("doc_id", "n_shingles", "node")
     out = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
