@@ -100,4 +100,4 @@ def digest(df: DataFrame) -> DataFrame:
     sized = df.select("doc_id", "source", words(F.col("text")).alias("size"))
     slope = F.element_at(F.array(*[F.lit(a) for a in SLOPES]), (F.col("rank") % len(SLOPES) + 1).cast("int"))
     out = mixed(sized, ["doc_id", "size"]).withColumn("position", position(F.col("before"), F.col("target"), slope))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
