@@ -38,7 +38,7 @@ def dotted(n: Column) -> Column:
 
 def span(prefix: Column) -> Column:
     """Addresses of a network."""
-    return F.shiftleft(F.lit(1).cast("bigint"), (32 - prefix).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (32 - prefix).cast("int"))
 
 
 def network(ip: Column, prefix: Column) -> Column:
