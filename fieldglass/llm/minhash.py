@@ -6,10 +6,12 @@ a pair shares none with probability below 2e-7) and a signature of the low BITS
 a band key are candidates; equal low bits, corrected for chance, estimate their similarity, and only pairs whose
 estimate is more than five standard deviations too low are left out. What stays is confirmed on full sets.
 
-No bucket is expanded into all its pairs: each member is compared with one representative, in a few rounds with other
-representatives, and only members that are still in different components are then paired, so that no link between
-components is lost. Components come from alternating stars; every step is a partial aggregation and a join, and goes to
-a table in the shared folder.
+No bucket is expanded into all its pairs. First each member is compared with the bucket's most central members, those
+whose other buckets are the fullest, in ROUNDS rounds; near copies of one text are thereby linked. Buckets whose members
+are then still in different components are read in tiles of CHUNK rows a side: members outside the bucket's largest
+component against all. Tiles compare signatures first and full sets of what passes then, and give only links that join
+components, so what is emitted is linear in the members and no link between components is lost. Components come from
+alternating stars; every step is a partial aggregation and a join, and goes to a table in the shared folder.
 
 A row without an id has one from its group, if any row of it has one, and is kept if none has.
 A text without words, or null, has an empty set, is linked with nothing and is kept. With fewer words than a shingle
@@ -25,15 +27,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, text_batches, written
 
 BANDS, ROWS, BITS = 40, 5, 2
-#: Rounds with one representative a bucket before what is left is paired.
-ROUNDS = 2
+#: Rounds with one representative a bucket before what is left is read in tiles, and rows of a side of a tile on average.
+ROUNDS, CHUNK = 2, 2_000
+TILE = ["key", "lc", "rc"]
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 HASHES = BANDS * ROWS
@@ -187,20 +190,137 @@ def least_estimate(threshold: float) -> float:
     return threshold - SLACK * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
+def sets_of(wanted: DataFrame, sketch: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, members) of distinct wanted nodes, as a table: one document of each is read again."""
+    ids = sketch.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    own = docs.select("doc_id", "text").join(ids.toDF("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return written(node_sets(own, size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose sets share enough, as a table."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent / 100)))
     likely = written(likely.select("a", "b"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = sketch.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = written(node_sets(docs.select("doc_id", "text").join(ids.toDF("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), size).dropDuplicates(["node"]))
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sketch, docs, size)
     of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
     counted = shared_counts(likely.join(of("a"), "a").join(of("b"), "b"))
     return written(counted.where(100 * F.col("n_both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"))
 
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by tile, as tables of whole tiles with the places where tiles begin, and the end."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        ids = np.stack([t.column(c).to_numpy() for c in TILE])
+        new = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
+        held = t.slice(new[-1]) if new else t
+        if new:
+            yield t.slice(0, new[-1]), [0, *new]
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def _matrix(t: pa.Table, column: str) -> np.ndarray:
+    c = t.column(column).combine_chunks()
+    c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def _passing(t: pa.Table, bits: np.ndarray, bounds: list[int], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each tile (its first row), row pairs of left and right side in different components whose sizes and estimates allow a link."""
+    side, label, n = (t.column(c).to_numpy() for c in ("side", "label", "n"))
+    bits = bits.view(np.uint64)
+    most = HASHES * (1 - (least_estimate(percent / 100) * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))  # unequal minima at most
+    odd = np.uint64(0x5555555555555555)
+    for begin, end in zip(bounds, bounds[1:]):
+        left, right = begin + np.flatnonzero(side[begin:end] == 0), begin + np.flatnonzero(side[begin:end] == 1)
+        for k in range(0, len(left) if len(right) else 0, 128):
+            a = left[k : k + 128]
+            ok = (label[a][:, None] != label[right][None, :]) & (100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :]))
+            i, j = np.nonzero(ok)
+            x = bits[a[i]] ^ bits[right[j]]
+            far = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
+            keep = far <= most
+            if keep.any():
+                yield begin, a[i[keep]], right[j[keep]]
+
+
+def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, lc, rc, side, node) of the rows of tiles that are in a pair whose signatures allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_tiles(batches):
+            hit = np.zeros(t.num_rows, bool)
+            for _, a, b in _passing(t, _matrix(t, "bits"), bounds, percent):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield from t.select([*TILE, "side", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, "key bigint, lc int, rc int, side int, node bigint")
+
+
+def tile_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from rows of tiles with bands, signatures and sets. A pair is looked at in the first bucket that it shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_tiles(batches):
+            bits, bands = _matrix(t, "bits"), _matrix(t, "bands")
+            key, node, label, n = (t.column(c).to_numpy() for c in ("key", "node", "label", "n"))
+            members = t.column("members")
+            out, joined, sets = [], {}, {}
+
+            def lead(x: int) -> int:
+                while (y := joined.get(x, x)) != x:
+                    x = y
+                return x
+
+            def hashes(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = _unpacked(members[i].as_py())
+                return sets[i]
+
+            at = -1
+            for begin, a, b in _passing(t, bits, bounds, percent):
+                if begin != at:
+                    at, joined, sets = begin, {}, {}
+                first = (bands[a] == bands[b]).argmax(axis=1)
+                mine = bands[a, first] == key[begin]
+                for i, j in zip(a[mine].tolist(), b[mine].tolist()):
+                    x, y = lead(int(label[i])), lead(int(label[j]))
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(hashes(i), hashes(j), assume_unique=True))
+                    if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
+                        joined[max(x, y)] = min(x, y)
+                        out.append((int(node[i]), int(node[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def tiles(held: DataFrame) -> DataFrame:
+    """Rows (key, node, label, ...) of buckets with several components as rows of tiles (key, lc, rc, side): on side 0 members outside the bucket's largest component, on side 1 all. A bucket of many members has many tiles."""
+    by_label = held.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    bucket = by_label.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("rows"), F.max("n_label").alias("largest")).where("rows > largest")
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / CHUNK)).cast("int")
+    rows = held.join(bucket.select("key", "main", chunks(F.col("rows") - F.col("largest")).alias("_l"), chunks(F.col("rows")).alias("_r")), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    left = rows.where("label <> main").withColumn("lc", own(1, "_l")).withColumn("rc", every("_r")).withColumn("side", F.lit(0))
+    right = rows.withColumn("rc", own(2, "_r")).withColumn("lc", every("_l")).withColumn("side", F.lit(1))
+    return left.unionByName(right).drop("main", "_l", "_r")
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    """Rows with those of a tile together, in order."""
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): label is the smallest node that can be reached, for every node of an edge. Alternating stars."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -230,21 +350,21 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def node_labels(docs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) of the nodes that share a bucket with another."""
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    keyed = sketch.where("node is not null").select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = written(keyed.join(shared, "key").distinct())
+    some = sketch.where("node is not null")
+    nodes = some.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    keyed = some.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("full")).where("lo <> hi").select("key", "full")
+    members = written(keyed.join(shared, "key").groupBy("key", "node").agg(F.max("full").alias("full")))
     labels = written(members.select("node").distinct().withColumn("label", F.col("node")))
+    # The most central members of each bucket; only ROUNDS rows of a bucket leave a task.
+    central = members.groupBy("node").agg(F.sum("full").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+    reps = written(members.select("key", "node").join(central, "node").withColumn("turn", rank).where(F.col("turn") <= ROUNDS).select("key", "turn", F.col("node").alias("b")))
     tried = None
-    for turn in range(ROUNDS + 1):
-        held = members.join(labels, "node")
-        bucket = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("label").alias("l_b"))).alias("r")).where("lo <> hi")
-        if turn < ROUNDS:
-            pairs = held.join(bucket.select("key", "r.b", "r.l_b"), "key").where("label <> l_b").select(F.col("node").alias("a"), "b")
-        else:
-            left = held.join(bucket.select("key"), "key", "left_semi")
-            pairs = left.select("key", F.col("node").alias("a"), F.col("label").alias("l_a")).join(left.select("key", F.col("node").alias("b"), F.col("label").alias("l_b")), "key").where("l_a < l_b").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for turn in range(1, ROUNDS + 1):
+        rep = reps.where(F.col("turn") == turn).join(labels.select(F.col("node").alias("b"), F.col("label").alias("l_b")), "b").select("key", "b", "l_b")
+        pairs = members.select("key", "node").join(labels, "node").join(rep, "key").where("label <> l_b")
+        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
@@ -254,7 +374,18 @@ def node_labels(docs: DataFrame, sketch: DataFrame, size: int, percent: int) ->
         links = confirmed(pairs, nodes, sketch, docs, size, percent)
         if not links.isEmpty():
             labels = relabelled(labels, links)
-    return labels
+    of = nodes.select("node", F.col("n_shingles").alias("n"), "bits")
+    held = members.select("key", "node").join(labels, "node")
+    split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows = tiles(held.join(split, "key", "left_semi")).join(of, "node")
+    likely = written(likely_rows(by_tile(rows.select(*TILE, "side", "node", "label", "n", "bits")), percent))
+    if likely.isEmpty():
+        return labels
+    sets = sets_of(likely.select("node").distinct(), sketch, docs, size)
+    bands = some.groupBy("node").agg(F.first("bands").alias("bands"))
+    full = likely.join(sets.join(of, "node").join(bands, "node").join(labels, "node"), "node")
+    links = written(tile_links(by_tile(full.select(*TILE, "side", "node", "label", "n", "bits", "bands", "members")), percent))
+    return labels if links.isEmpty() else relabelled(labels, links)
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -67,3 +67,19 @@ def test_chains_and_large_groups(spark):
     rows += [(3000 + i, " ".join(near[:50] + [f"odd{i}"] + near[50:])) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert got(minhash.near_duplicates(df, 2)) == brute(rows, 2, 80)
+
+
+def test_small_tiles_lose_no_link(spark, monkeypatch):
+    """Many texts that share buckets but are linked only here and there, read in tiles of few rows."""
+    rng = __import__("random").Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(2, 12)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(minhash, "CHUNK", 7)
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(minhash.near_duplicates(df, 2)) == brute(rows, 2, 80)
