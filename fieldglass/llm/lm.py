@@ -12,13 +12,18 @@ its distinct n-grams, with their counts in training texts, to buckets by their h
 blocks and answers each block with the totals of its own n-grams, in its own order. From those a block has the part of
 the automaton that its texts can reach. A frequent word is one n-gram a block, so no key is hot.
 
-Words are told apart by 64 bits of hash, longer n-grams by 48 bits within their bucket. A null text counts as empty, an
+Texts travel to their blocks in compressed packs, n-grams as compressed differences of sorted keys.
+
+Words are told apart by 64 bits of hash, longer n-grams by 40 bits within their bucket. A null text counts as empty, an
 empty text is its end alone. A null id is held out. Without training texts N and V are 0. Every row gets a row;
 repeated rows count each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +38,7 @@ BLOCK_BYTES, PIECE = 4_000_000, 2_048
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-KEY_BYTES = 6
+KEY_BITS = 40
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +69,14 @@ def ngram_keys(tokens: np.ndarray, count: np.ndarray, order: int) -> list[np.nda
 
 
 class Ngrams:
-    """The distinct n-grams of one length in a block, in order of bucket, then key."""
+    """The distinct n-grams of one length in a block, in order of bucket, then of the part of the key that travels."""
 
-    def __init__(self, keys: np.ndarray, buckets: int):
+    def __init__(self, keys: np.ndarray, buckets: int, n: int):
         unique, where = np.unique(keys, return_inverse=True)
-        bucket = ((unique >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.keys, self.bucket = unique[order], bucket[order]
+        bucket = ((unique >> np.uint64(KEY_BITS)) % np.uint64(buckets)).astype(np.int64)
+        short = unique if n == 1 else unique & np.uint64((1 << KEY_BITS) - 1)
+        order = np.lexsort((short, bucket))
+        self.keys, self.bucket = short[order], bucket[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.where = place[where.ravel()]  # of each token's n-gram
@@ -79,20 +85,53 @@ class Ngrams:
         return np.searchsorted(self.bucket, np.arange(buckets + 1))
 
 
-def _packed(keys: np.ndarray, n: int) -> bytes:
-    """Keys byte by byte, the high bytes first, which compress as keys are sorted."""
-    if n > 1:
-        return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, KEY_BYTES - 1 :: -1].T).tobytes()
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all first bytes first, compressed."""
+    wide = np.ascontiguousarray(x.astype("<u8"))
+    used = max(1, -(-int(wide.max()).bit_length() // 8)) if len(wide) else 1
+    return bytes([used]) + zlib.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes(), 1)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data), dtype=np.uint64)
+
+
+def packs(rows: DataFrame) -> DataFrame:
+    """Rows with _block as (_block, pack): the rows of a batch that go to one block, as one compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            block = batch.column("_block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            begin = np.flatnonzero(np.diff(block[order], prepend=-1))
+            sorted_ = batch.take(pa.array(order)).drop_columns(["_block"])
+            data = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, sorted_.schema, options=options) as out:
+                    out.write_batch(sorted_.slice(a, b - a))
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[begin]], pa.int32()), pa.array(data, pa.binary())], names=["_block", "pack"])
+
+    return rows.mapInArrow(run, "_block int, pack binary")
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    width = KEY_BYTES if n > 1 else 8
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    out = np.zeros(planes.shape[1], np.uint64)
-    for plane in planes:
-        out = (out << np.uint64(8)) | plane
-    return out
+def _opened(table: pa.Table) -> pa.Table:
+    """The rows of a block's packs."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("pack")])
 
 
 def _texts(table: pa.Table) -> list[str]:
@@ -103,14 +142,15 @@ def totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     """(block, bucket, totals, tokens, kinds): for each block the totals of its n-grams in training texts; tokens and kinds of a bucket stand once."""
 
     def ask(table: pa.Table) -> pa.Table:
-        tokens, count = tokens_of(_texts(table))
-        train = np.repeat(np.array(table.column("_train").to_pylist(), bool), count)
-        grams = [Ngrams(k, buckets) for k in ngram_keys(tokens, count, order)]
-        counts = [np.bincount(g.where[train], minlength=len(g.keys)).astype("<u4") for g in grams]
+        rows = _opened(table)
+        tokens, count = tokens_of(_texts(rows))
+        train = np.repeat(np.array(rows.column("_train").to_pylist(), bool), count)
+        grams = [Ngrams(k, buckets, n) for n, k in enumerate(ngram_keys(tokens, count, order), 1)]
+        counts = [np.bincount(g.where[train], minlength=len(g.keys)) for g in grams]
         parts = [g.parts(buckets) for g in grams]
         some = [b for b in range(buckets) if any(p[b + 1] > p[b] for p in parts)]
-        keys = [[_packed(g.keys[p[b] : p[b + 1]], n) for n, (g, p) in enumerate(zip(grams, parts), 1)] for b in some]
-        own = [[c[p[b] : p[b + 1]].tobytes() for c, p in zip(counts, parts)] for b in some]
+        keys = [[_packed(g.keys[p[b] : p[b + 1]]) for g, p in zip(grams, parts)] for b in some]
+        own = [[_planes(c[p[b] : p[b + 1]]) for c, p in zip(counts, parts)] for b in some]
         block = table.column("_block")[0].as_py()
         columns = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))]
         return pa.table(columns, names=["bucket", "block", "keys", "counts"])
@@ -120,14 +160,14 @@ def totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
         sums: list[list[bytes]] = [[] for _ in blocks_]
         tokens = kinds = 0
         for n in range(order):
-            own = [_unpacked(k[n], n + 1) for k in keys]
+            own = [_unpacked(k[n]) for k in keys]
             unique, where = np.unique(np.concatenate(own), return_inverse=True)
-            total = np.bincount(where.ravel(), np.concatenate([np.frombuffer(c[n], "<u4") for c in counts]), len(unique)).astype("<i8")
+            total = np.bincount(where.ravel(), np.concatenate([_numbers(c[n]) for c in counts]), len(unique)).astype("<i8")
             if n == 0:
                 tokens, kinds = int(total.sum()), int((total > 0).sum())
             back, begin = total[where.ravel()], 0
             for i, k in enumerate(own):
-                sums[i].append(back[begin : begin + len(k)].tobytes())
+                sums[i].append(_planes(back[begin : begin + len(k)]))
                 begin += len(k)
         once = lambda x: pa.array([x] + [0] * (len(blocks_) - 1), pa.int64())
         columns = [pa.array(blocks_, pa.int32()), table.column("bucket"), pa.array(sums, pa.list_(pa.binary())), once(tokens), once(kinds)]
@@ -198,22 +238,23 @@ def scored(df: DataFrame, train: Column, column: str = "text", order: int = ORDE
     size = rows.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*kept, "_text"), F.lit(blocks)).cast("int"))
-    answers = written(totals(rows.select("_block", "_text", "_train"), blocks, order))
+    answers = written(totals(packs(rows.select("_block", "_text", "_train")), blocks, order))
     all_tokens, kinds = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
     out = rows.select(*kept).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
-    def run(_, texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(_, packed: pa.Table, replies: pa.Table) -> pa.Table:
+        texts = _opened(packed)
         tokens, count = tokens_of(_texts(texts))
         replies = replies.sort_by("bucket").column("totals").to_pylist()
         at = []
         for n, keys in enumerate(ngram_keys(tokens, count, order)):
-            total = np.concatenate([np.frombuffer(r[n], "<i8") for r in replies])
-            at.append(total[Ngrams(keys, blocks).where])
+            total = np.concatenate([_numbers(r[n]) for r in replies]).astype(np.int64)
+            at.append(total[Ngrams(keys, blocks, n + 1).where])
         known, base, score = scores(tokens, count, at, all_tokens, kinds)
         columns = [pa.array(count.astype(np.int64)), pa.array(known), pa.array(np.full(len(count), all_tokens)), pa.array(base), pa.array(score)]
         return pa.table([texts.column(c) for c in kept] + columns, names=[*kept, *new])
 
-    return rows.groupBy("_block").cogroup(answers.select("block", "bucket", "totals").groupBy("block")).applyInArrow(run, out)
+    return packs(rows.select("_block", "_text", *kept)).groupBy("_block").cogroup(answers.select("block", "bucket", "totals").groupBy("block")).applyInArrow(run, out)
 
 
 def digest(df: DataFrame) -> DataFrame:
