@@ -176,23 +176,24 @@ def pattern(votes: np.ndarray) -> np.ndarray:
     return votes @ (1 << np.arange(votes.shape[1], dtype=np.int64))
 
 
-def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """About `rows` rows at most, chosen by a hash of the keys."""
+def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """About `rows` rows at most, chosen by a hash of the key."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
-def mined_words(labelled: DataFrame) -> Vocabulary:
-    """The lists with the words that tell toxic rows of (text, toxic) from others, without words that labels contradict; from MINED_ROWS rows at most."""
+def mined_words(docs: DataFrame, told: DataFrame) -> Vocabulary:
+    """The lists with the words that tell toxic texts from others, without words that labels contradict; from MINED_ROWS labels at most, which are few enough to go to all executors. Of texts with one id one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, chars=CHARS):
             w = words_of(*codepoints(texts))
             pairs = np.unique(np.stack((w.doc.astype(np.uint64), w.hashes)), axis=1)
             at = np.searchsorted(pairs[0], np.arange(len(texts) + 1).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([pairs[1, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([pairs[1, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc_id", "toxic", "words"])
 
-    rows = sampled(labelled, MINED_ROWS, "text").select("text", "toxic").mapInArrow(run, "toxic int, words binary").toArrow()
+    own = docs.join(F.broadcast(sampled(told, MINED_ROWS)), "doc_id").select("doc_id", "label", "text")
+    rows = own.mapInArrow(run, "doc_id bigint, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.*").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
@@ -285,31 +286,33 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def learn(df: DataFrame) -> Classifier:
-    """From (text, label): label is 0 or 1 for training rows, null for all others."""
-    vocabulary = mined_words(df.where("label is not null").select("text", F.col("label").alias("toxic")))
-    held = df.sparkSession.sparkContext.broadcast(vocabulary)
+def learn(docs: DataFrame, told: DataFrame) -> Classifier:
+    """From texts (doc_id, text) and labels of training rows (doc_id, label), one a document. Texts are read where they are; only votes meet labels."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    vocabulary = mined_words(docs, told)
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, chars=CHARS):
             votes, _ = look(texts, held.value)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes)), batch.column("label")], names=["pattern", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern(votes))], names=["doc_id", "pattern"])
 
-    voted = df.select("text", "label").mapInArrow(run, "pattern bigint, label int")
+    voted = docs.mapInArrow(run, "doc_id bigint, pattern bigint").join(told, "doc_id", "left")
     counts = voted.groupBy("pattern", "label").agg(F.count("*").alias("n")).toArrow()  # one row for each pattern of votes
     votes_of = lambda p: (p[:, None] >> np.arange(len(VOTERS))) & 1 == 1
     patterns = counts.column("pattern").to_numpy()
+    width = look([""], vocabulary)[1].shape[1]
     if not len(patterns):
-        return Classifier(vocabulary, np.zeros(look([""], vocabulary)[1].shape[1]), 0.0)
+        return Classifier(vocabulary, np.zeros(width), 0.0)
     model = label_model(votes_of(patterns), counts.column("label").fill_null(-1).to_numpy(), counts.column("n").to_numpy().astype(float))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, chars=CHARS):
             votes, x = look(texts, held.value)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes)), batch.column("label"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["pattern", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern(votes)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "pattern", "x"])
 
-    fit = sampled(df.select("text", "label"), FIT_ROWS, "text").mapInArrow(features, "pattern bigint, label int, x binary").toArrow()
-    width = look([""], vocabulary)[1].shape[1]
+    fit = sampled(docs, FIT_ROWS).mapInArrow(features, "doc_id bigint, pattern bigint, x binary").groupBy("doc_id").agg(F.min(F.struct("pattern", "x")).alias("r")).select("doc_id", "r.*")
+    fit = fit.join(told, "doc_id", "left").select("pattern", "label", "x").toArrow()
     x = np.frombuffer(b"".join(fit.column("x").to_pylist()), np.float16).reshape(-1, width)
     y = model.posterior(votes_of(fit.column("pattern").to_numpy()), fit.column("label").fill_null(-1).to_numpy())
     return Classifier(vocabulary, *logistic(x, y))
@@ -337,6 +340,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of every text; labels of four fifths of the ids, by their CRC, are learned. Of several labels of an id the largest counts; a null id is held out."""
     held_out = F.coalesce(fold() == 0, F.lit(True))
     told = labels.where(~held_out & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(told, "doc_id", "left")
-    classifier = learn(rows.select("text", "label"))
+    classifier = learn(docs, told)
     return scored(docs.select("doc_id", "text", held_out.alias("held_out")), classifier)

@@ -34,6 +34,7 @@ def test_odd_rows_and_no_labels(spark, odd, none):
 
 def test_lists_work_without_labels(spark):
     texts = ["a calm and useful note about nothing"] * 40 + ["you are an idiot and a worthless moron"] * 5
-    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, label int")
-    score = [r["score"] for r in toxicity.scored(df.select("doc_id", "text"), toxicity.learn(df.select("text", "label"))).orderBy("doc_id").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    told = spark.createDataFrame([], "doc_id bigint, label int")
+    score = [r["score"] for r in toxicity.scored(df, toxicity.learn(df, told)).orderBy("doc_id").collect()]
     assert max(score[:40]) < 0.5 < min(score[40:])
