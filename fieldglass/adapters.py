@@ -25,7 +25,7 @@ def div(a: str, b: int) -> str:
     return f"CAST(floor(({a}) / {b}.0) AS BIGINT)"
 
 
-SCAN, LINE = "'s' || (l_orderkey % 3)", "l_orderkey * 8 + l_linenumber"
+SCAN, LINE = "'s' || (l_orderkey % 3)", "(l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey"
 ADDRESS = "((o_orderkey * 2654435761) % 16777216)"
 IP = f"'10.' || {div(ADDRESS, 65536)} || '.' || ({div(ADDRESS, 256)} % 256) || '.' || ({ADDRESS} % 256)"
 PIDS = "CASE {k} % 9 WHEN 0 THEN 'WS-C2960X-48FPD-L' WHEN 1 THEN 'C9300-48P-A' WHEN 2 THEN 'cisco N7K-C7009' WHEN 3 THEN 'ISR4331/K9' WHEN 4 THEN 'SG350 (PID:SG350-28P-K9)-V' WHEN 5 THEN '10.1.1.1' WHEN 6 THEN 'PWR-' || {k} WHEN 7 THEN '' ELSE 'N9K-X9736-' || ({k} % 40) END"
@@ -95,7 +95,7 @@ def neighbors(pairs: DataFrame) -> DataFrame:
         k, other = F.col(f"k{a}"), F.col(f"k{b}")
         name = lambda x: F.concat(F.lit("N"), (x % 25).cast("string"), F.lit("-SW-"), x.cast("string"))
         return pairs.select(
-            "scan_id", name(k).alias("hostname"), k.alias("device_ord"), (F.col("o") * 16 + F.col(f"i{a}") * 2 + flip).alias("item_ord"), name(other).alias("remote_device"), F.concat(F.lit("10.9."), (other % 256).cast("string"), F.lit("."), (F.col("o") % 3).cast("string")).alias("remote_ip"),
+            "scan_id", name(k).alias("hostname"), k.alias("device_ord"), ((F.col("o") * 16 + F.col(f"i{a}") * 2 + flip) * 1000003 + other).alias("item_ord"), name(other).alias("remote_device"), F.concat(F.lit("10.9."), (other % 256).cast("string"), F.lit("."), (F.col("o") % 3).cast("string")).alias("remote_ip"),
             F.concat(F.lit("GigabitEthernet0/"), F.col(f"i{a}").cast("string")).alias("local_intf"), F.when(F.col("o") % 5 != 0, F.concat(F.lit("TenGigabitEthernet1/"), F.col(f"i{b}").cast("string"))).alias("remote_intf"),
             F.when(F.col("o") % 2 == 0, F.array(F.lit("CDP"))).when(F.col("o") % 7 == 0, F.array(F.lit("CDP"), F.lit("OSPF"))).otherwise(F.array(F.lit("LLDP"))).alias("protocols"),
         )
@@ -105,7 +105,7 @@ def neighbors(pairs: DataFrame) -> DataFrame:
 
 #: The same for DuckDB, after the adapter `pairs`.
 NEIGHBORS = ", neighbors AS (" + " UNION ALL ".join(
-    f"SELECT scan_id, {host(f'k{a}')} AS hostname, k{a} AS device_ord, o * 16 + i{a} * 2 + {flip} AS item_ord, {host(f'k{b}')} AS remote_device, '10.9.' || (k{b} % 256) || '.' || (o % 3) AS remote_ip, 'GigabitEthernet0/' || i{a} AS local_intf, CASE WHEN o % 5 <> 0 THEN 'TenGigabitEthernet1/' || i{b} END AS remote_intf, CASE WHEN o % 2 = 0 THEN 'CDP' WHEN o % 7 = 0 THEN 'CDP,OSPF' ELSE 'LLDP' END AS protocols FROM pairs"
+    f"SELECT scan_id, {host(f'k{a}')} AS hostname, k{a} AS device_ord, (o * 16 + i{a} * 2 + {flip}) * 1000003 + k{b} AS item_ord, {host(f'k{b}')} AS remote_device, '10.9.' || (k{b} % 256) || '.' || (o % 3) AS remote_ip, 'GigabitEthernet0/' || i{a} AS local_intf, CASE WHEN o % 5 <> 0 THEN 'TenGigabitEthernet1/' || i{b} END AS remote_intf, CASE WHEN o % 2 = 0 THEN 'CDP' WHEN o % 7 = 0 THEN 'CDP,OSPF' ELSE 'LLDP' END AS protocols FROM pairs"
     for a, b, flip in (("a", "b", 0), ("b", "a", 1))
 ) + ") "
 

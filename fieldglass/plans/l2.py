@@ -94,7 +94,7 @@ def _finding(df: DataFrame, rule: int, seq, host, title, description, severity=N
 
 
 def _by_vlan():
-    return F.concat(F.lpad(net.vlan_order(F.col("vlan_id")).cast("string"), 12, "0"), F.lit(":"), F.col("vlan_id"))
+    return F.concat(F.lpad(net.vlan_order(F.col("vlan_id")).cast("string"), 18, "0"), F.lit(":"), F.col("vlan_id"))
 
 
 def finding_blocked(t: Tables) -> DataFrame:

@@ -72,7 +72,7 @@ def address_audit(t: Tables) -> DataFrame:
     a = addresses(t)
     at = ["hostname", "item_ord", "ip_ord"]
     pairs = overlapping(a.select("scan_id", *at, "interface", "lo", "prefix"), ["scan_id"])
-    side = lambda x, y: pairs.select("scan_id", *[F.col(f"{x}_{c}").alias(c) for c in at], F.struct(*[F.col(f"{y}_{c}") for c in at]).alias("o"), F.concat(F.lit("Overlaps "), f"{y}_hostname", F.lit(" "), f"{y}_interface").alias("x"))
+    side = lambda x, y: pairs.select("scan_id", *[F.col(f"{x}_{c}").alias(c) for c in at], F.struct(*[F.col(f"{y}_{c}").alias(c) for c in at]).alias("o"), F.concat(F.lit("Overlaps "), f"{y}_hostname", F.lit(" "), f"{y}_interface").alias("x"))
     both = listed(side("a", "b").unionByName(side("b", "a")), ["scan_id", *at], ["o"], F.col("x"), "; ", "overlap")
     out = a.join(both, ["scan_id", *at], "left")
     return out.select(*_head(), "interface", F.col("cidr").alias("ip_cidr"), net.network_text(F.col("net")).alias("subnet"), present(net.svi(F.col("interface"))).alias("vlan"), present("overlap").alias("overlap"), place(*at))
@@ -97,7 +97,7 @@ def fhrp_status(t: Tables) -> DataFrame:
 
 def _seq(*columns: str) -> Column:
     """A text that sorts findings: the host, then numbers of places."""
-    numbers = [F.lpad(F.col(c).cast("string"), 12, "0") if c != "hostname" else F.col(c) for c in columns]
+    numbers = [F.lpad(F.col(c).cast("string"), 18, "0") if c != "hostname" else F.col(c) for c in columns]
     return F.concat_ws("\x01", *numbers)
 
 
@@ -148,7 +148,7 @@ def finding_overlap(t: Tables) -> DataFrame:
     key = ["scan_id", "a_hostname", "a_cidr", "b_hostname", "b_cidr"]
     at = F.struct("a_item_ord", "a_ip_ord", "b_item_ord", "b_ip_ord")
     one = pairs.groupBy(*key).agg(F.min_by(F.struct("a_interface", "b_interface"), at).alias("i"), F.min(at).alias("at"))
-    seq = F.concat_ws("\x01", "a_hostname", *[F.lpad(F.col(f"at.{c}").cast("string"), 12, "0") for c in ("a_item_ord", "a_ip_ord")], "b_hostname", *[F.lpad(F.col(f"at.{c}").cast("string"), 12, "0") for c in ("b_item_ord", "b_ip_ord")])
+    seq = F.concat_ws("\x01", "a_hostname", *[F.lpad(F.col(f"at.{c}").cast("string"), 18, "0") for c in ("a_item_ord", "a_ip_ord")], "b_hostname", *[F.lpad(F.col(f"at.{c}").cast("string"), 18, "0") for c in ("b_item_ord", "b_ip_ord")])
     text = F.concat("a_hostname", F.lit(" "), "i.a_interface", F.lit(" ("), "a_cidr", F.lit(") overlaps with "), "b_hostname", F.lit(" "), "i.b_interface", F.lit(" ("), "b_cidr", F.lit(")"))
     return _finding(one, 12, seq, F.col("a_hostname"), F.lit("Overlapping IP subnet"), text, F.lit("Critical"))
 
@@ -157,7 +157,7 @@ def finding_costs(t: Tables) -> DataFrame:
     o = t["routing_detail.ospf_interfaces"].select("scan_id", "hostname", "item_ord", present("area").alias("area"), whole(F.col("cost")).alias("cost")).where("cost is not null")
     a = o.groupBy("scan_id", "area").agg(F.min("cost").alias("lo"), F.max("cost").alias("hi"), F.count("*").alias("n"), F.min_by("hostname", F.struct("hostname", "item_ord")).alias("hostname"), F.min(F.struct("hostname", "item_ord")).alias("at"))
     a = a.where((F.col("n") >= 2) & (F.col("lo") > 0) & (F.col("hi") / F.col("lo") > COST_RATIO))
-    seq = F.concat_ws("\x01", "at.hostname", F.lpad(F.col("at.item_ord").cast("string"), 12, "0"))
+    seq = F.concat_ws("\x01", "at.hostname", F.lpad(F.col("at.item_ord").cast("string"), 18, "0"))
     return _finding(a, 13, seq, F.col("hostname"), F.concat(F.lit("Asymmetric OSPF costs in area "), "area"), F.format_string("Cost range %d-%d across %d interfaces in area %s", "lo", "hi", "n", "area"), F.lit("Warning"))
 
 

@@ -166,7 +166,7 @@ def similar(a: str, b: str) -> str:
     return f"({x} = {y} OR ({DEFAULT.format(n=a)} AND {DEFAULT.format(n=b)}) OR (abs(length({x}) - length({y})) <= 3 AND (levenshtein({x}, {y}) <= 2 OR {shared})))"
 
 
-GROUPS = f"len(string_split(list_reduce(list_prepend('', names), (h, n) -> CASE WHEN len(list_filter(string_split(h, '~'), g -> g <> '' AND {similar('n', 'g')})) > 0 THEN h ELSE h || '~' || n END), '~')) - 1"
+GROUPS = f"len(string_split(list_reduce(list_prepend('', names), lambda h, n: CASE WHEN len(list_filter(string_split(h, '~'), lambda g: g <> '' AND {similar('n', 'g')})) > 0 THEN h ELSE h || '~' || n END), '~')) - 1"
 VLANS = (
     f", r0 AS (SELECT scan_id, {VID} AS vid, hostname, device_ord, arg_max(root_address, item_ord) AS mac, arg_max(root_priority, item_ord) AS pri, arg_max(root_cost, item_ord) AS cost, min(item_ord) AS item_ord FROM roots WHERE root_address <> '' GROUP BY ALL)"
     f", n0 AS (SELECT scan_id, {VID} AS vid, hostname, device_ord, arg_max(name, item_ord) AS name FROM vlan_names GROUP BY ALL)"
@@ -196,7 +196,7 @@ register(
     L2 + ", s1 AS (SELECT scan_id, vid, string_agg(hostname || ': ' || ip || '/' || prefix || CASE WHEN secondary THEN ' (secondary)' ELSE '' END, '; ' ORDER BY hostname, item_ord, ip_ord) AS x FROM svi GROUP BY ALL)"
     ", h1 AS (SELECT scan_id, substr(interface, 5) AS vid, string_agg(hostname || ': ' || virtual_ip || ' (' || CASE WHEN state <> '' THEN state || ', ' ELSE '' END || 'pri ' || priority || ')', '; ' ORDER BY hostname, item_ord) AS x FROM hsrp GROUP BY ALL)"
     ", b1 AS (SELECT scan_id, vid, string_agg(hostname || '-' || interface || ' BLK on VLANs ' || vs, '; ' ORDER BY hostname, interface) AS x FROM (SELECT DISTINCT b.scan_id, b.hostname, b.interface, b.vlan_id AS vid, vs FROM blocked b JOIN bp USING (scan_id, hostname, interface)) GROUP BY ALL)"
-    " SELECT v.scan_id, v.vid AS vlan_id, array_to_string(list_sort(list_distinct(list_transform(sw, x -> split_part(x, '-', 1)))), ', ') AS site, best AS vlan_name, array_to_string(sw, ', ') AS seen_on, CASE WHEN owner <> '' THEN owner ELSE mac END AS stp_root_bridge, pri AS root_priority, coalesce(s1.x, '') AS svi_ip_cidr, coalesce(h1.x, '') AS hsrp_vip, coalesce(b1.x, '') AS blocked_ports, CASE WHEN roots > 1 THEN 'STP root mismatch -- see Findings' ELSE '' END AS notes"
+    " SELECT v.scan_id, v.vid AS vlan_id, array_to_string(list_sort(list_distinct(list_transform(sw, lambda x: split_part(x, '-', 1)))), ', ') AS site, best AS vlan_name, array_to_string(sw, ', ') AS seen_on, CASE WHEN owner <> '' THEN owner ELSE mac END AS stp_root_bridge, pri AS root_priority, coalesce(s1.x, '') AS svi_ip_cidr, coalesce(h1.x, '') AS hsrp_vip, coalesce(b1.x, '') AS blocked_ports, CASE WHEN roots > 1 THEN 'STP root mismatch -- see Findings' ELSE '' END AS notes"
     " FROM v LEFT JOIN s1 USING (scan_id, vid) LEFT JOIN h1 USING (scan_id, vid) LEFT JOIN b1 USING (scan_id, vid)",
 )
 register("R1_R5_l2_findings", l2.findings_sheet, L2 + L2_FINDINGS + f"SELECT scan_id, hostname, CASE WHEN contains(hostname, '-') THEN {site()} ELSE '' END AS site, title AS port, description AS notes FROM fs")
@@ -492,6 +492,6 @@ def _scalars(t: Scans) -> DataFrame:
 
 register(
     "C1_C19_scalars", _scalars,
-    "WITH p AS (SELECT p_partkey AS k, p_name, p_brand, 10 * 16777216 + (p_partkey % 300) * 65536 + (p_partkey % 256) * 256 + 9 AS n, p_partkey % 300 <= 255 AS valid, p_partkey % 40 AS px FROM part), q AS (SELECT *, n - n % CAST(pow(2, 32 - px) AS BIGINT) AS lo FROM p)"
+    "WITH p AS (SELECT p_partkey AS k, p_name, p_brand, 10 * 16777216 + (p_partkey % 300) * 65536 + (p_partkey % 256) * 256 + 9 AS n, p_partkey % 300 <= 255 AS valid, p_partkey % 40 AS px FROM part), q AS (SELECT *, n - n % CAST(pow(2, 32 - least(px, 32)) AS BIGINT) AS lo FROM p)"
     f" SELECT k, valid, CASE WHEN valid THEN n END AS number, CASE WHEN valid AND px <= 32 THEN {DOTTED.format(x='lo')} || '/' || px ELSE '' END AS network, CASE WHEN contains(p_name, '-') THEN split_part(p_name, '-', 1) ELSE '' END AS site, CAST(k AS VARCHAR) AS vlan, {similar('p_name', 'p_brand')} AS similar, 'F0/' || k AS short, CASE WHEN k % 2 = 0 THEN 'phone' ELSE 'switch' END AS category, '15.2(2)E10' AS version FROM q",
 )
