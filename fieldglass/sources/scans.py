@@ -59,7 +59,7 @@ Tables = dict[str, DataFrame]
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(filename, text, doc) of every *.json of a folder; texts that are no JSON have a null doc."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
     return documents(files)
 
 
