@@ -41,7 +41,7 @@ ADAPTERS = {
     "pairs": f"SELECT {SCAN.replace('l_', 'a.l_')} AS scan_id, a.l_suppkey AS ka, b.l_suppkey AS kb, a.l_linenumber AS ia, b.l_linenumber AS ib, a.l_orderkey AS o FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
     "roots": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, 'VLAN00' || (l_partkey % 50) AS vlan_id, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE {mac('l_partkey % 3 + 1')} END AS root_address, CAST(CASE WHEN l_partkey % 2 = 0 THEN 32768 + l_partkey % 50 ELSE 4096 END AS VARCHAR(9)) AS root_priority, CAST(l_linenumber - 1 AS VARCHAR(9)) AS root_cost FROM {{lineitem}} WHERE l_returnflag = 'A'",
     "vlan_names": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 60 AS VARCHAR(9)) AS vlan_id, CASE l_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'USERS_' || (l_partkey % 60) WHEN 2 THEN 'USER_' || (l_partkey % 60) ELSE CASE WHEN l_partkey % 120 < 60 THEN 'VLAN00' || (l_partkey % 60) ELSE 'SERVERS-LAB-' || (l_partkey % 7) END END AS name FROM {{lineitem}} WHERE l_returnflag = 'N'",
-    "blocked": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 40 AS VARCHAR(9)) AS vlan_id, 'Gi0/' || l_linenumber AS interface, CASE WHEN l_partkey % 3 = 0 THEN 'BKN*' ELSE 'BLK' END AS status, CASE WHEN l_partkey % 3 = 0 THEN 'BA_Inc' ELSE '' END AS reason FROM {{lineitem}} WHERE l_orderkey % 97 = l_partkey % 97",
+    "blocked": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 40 AS VARCHAR(9)) AS vlan_id, 'Gi0/' || l_linenumber AS interface, CASE WHEN l_partkey % 3 = 0 THEN 'BKN*' ELSE 'BLK' END AS status, CASE WHEN l_partkey % 3 = 0 THEN 'BA_Inc' ELSE '' END AS reason FROM {{lineitem}} WHERE l_returnflag = 'A'",
     "ports": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, 'Gi' || l_linenumber || '/' || (l_partkey % 48) AS interface, CASE l_partkey % 3 WHEN 0 THEN 'static access' WHEN 1 THEN 'Trunk' ELSE '' END AS mode, CAST(l_partkey % 5 AS VARCHAR(9)) AS native_vlan, CASE WHEN l_partkey % 2 = 0 THEN 'ALL' ELSE '10,20' END AS allowed_vlans, CASE WHEN l_partkey % 7 = 0 THEN '100' ELSE '' END AS voice_vlan FROM {{lineitem}}",
     "port_flags": f"SELECT DISTINCT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, 'gi' || l_linenumber || '/' || (l_partkey % 48) AS interface, l_partkey % 2 AS kind FROM {{lineitem}} WHERE l_returnflag = 'R'",
     "configs": "SELECT scan_id, hostname, device_ord, CASE device_ord % 4 WHEN 0 THEN 'hostname x spanning-tree portfast bpduguard default' WHEN 1 THEN 'interface y spanning-tree bpduguard enable spanning-tree guard root' WHEN 2 THEN 'plain' ELSE '' END AS config FROM devices",
@@ -50,19 +50,19 @@ ADAPTERS = {
     "intf_notes": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, CASE WHEN o_orderkey % 2 = 0 THEN 'gigabitethernet0/' || (o_orderkey % 48) ELSE 'PORT-CHANNEL' || (o_orderkey % 20) END AS interface, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'to ' || (o_orderkey % 97) END AS description FROM {{orders}} WHERE o_orderstatus <> 'P'",
     "route_counts": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, CASE o_orderkey % 8 WHEN 0 THEN 'connected' WHEN 1 THEN 'static' WHEN 2 THEN 'ospf 1' WHEN 3 THEN 'eigrp 10' WHEN 4 THEN 'bgp 65001' WHEN 5 THEN 'BGP' WHEN 6 THEN 'isis' ELSE 'local' END AS source, CASE WHEN o_orderkey % 50 = 7 THEN 'n/a' ELSE CAST(o_orderkey % 10 AS VARCHAR(9)) END AS cnt FROM {{orders}}",
     "bgp": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('o_custkey')} AS hostname, o_orderkey AS item_ord, '192.0.' || (o_orderkey % 256) || '.' || (o_custkey % 256) AS neighbor, CAST(64512 + o_orderkey % 1000 AS VARCHAR(9)) AS asn, CASE o_orderstatus WHEN 'F' THEN 'Established' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Idle' ELSE 'Established' END ELSE 'Active' END AS state, CAST(o_orderkey % 500 AS VARCHAR(9)) AS prefixes_received, '0' || (o_orderkey % 10) || ':00:00' AS up_down FROM {{orders}}",
-    "ospf_if": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, 'Gi0/' || (o_orderkey % 48) AS interface, CAST(o_custkey % 20 AS VARCHAR(9)) AS area, CASE WHEN o_orderkey % 40 = 3 THEN 'x' ELSE CAST(CASE WHEN o_custkey % 20 < 5 THEN 1 + o_orderkey % 7 ELSE 1 + (o_orderkey % 30) * 10 END AS VARCHAR(9)) END AS cost, 'DR' AS state, CAST(o_orderkey % 4 AS VARCHAR(9)) AS nbrs FROM {{orders}} WHERE o_custkey % 400 < 300",
-    "ospf_proc": f"SELECT DISTINCT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_custkey % 400 AS k FROM {{orders}} WHERE o_custkey % 2 = 0",
+    "ospf_if": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 300)')} AS hostname, o_orderkey AS item_ord, 'Gi0/' || (o_orderkey % 48) AS interface, CAST(o_custkey % 20 AS VARCHAR(9)) AS area, CASE WHEN o_orderkey % 40 = 3 THEN 'x' ELSE CAST(CASE WHEN o_custkey % 20 < 5 THEN 1 + o_orderkey % 7 ELSE 1 + (o_orderkey % 30) * 10 END AS VARCHAR(9)) END AS cost, 'DR' AS state, CAST(o_orderkey % 4 AS VARCHAR(9)) AS nbrs FROM {{orders}}",
+    "ospf_proc": f"SELECT DISTINCT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 175 * 2)')} AS hostname, o_custkey % 175 * 2 AS k FROM {{orders}}",
     "routes": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, '10.' || (l_partkey % 256) || '.0.0' AS network, CASE l_linenumber WHEN 1 THEN '32' WHEN 2 THEN '255.255.255.255' WHEN 3 THEN '/32' ELSE '24' END AS mask, '10.0.0.' || l_linenumber AS next_hop, 'Gi0/' || l_linenumber AS interface, l_linestatus AS protocol, CAST(l_partkey % 20 AS VARCHAR(9)) AS metric FROM {{lineitem}}",
     "l3_neighbors": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, '10.0.' || (o_orderkey % 256) || '.2' AS remote_ip, 'R' || (o_orderkey % 100) AS remote_device, CASE o_orderkey % 3 WHEN 0 THEN 'ospf' WHEN 1 THEN 'OSPF' ELSE 'bgp' END AS protocol, CASE o_orderkey % 7 WHEN 0 THEN 'INIT' WHEN 1 THEN '2WAY/DROTHER' WHEN 2 THEN '' ELSE 'FULL/BDR' END AS state FROM {{orders}}",
     "rules": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_orderkey AS o, l_linenumber AS n, 'ACL-' || l_orderkey AS name, CASE WHEN l_linestatus = 'O' THEN 'permit' ELSE 'deny' END AS action, CASE WHEN l_partkey % 3 = 0 THEN 'ip' ELSE 'tcp' END AS protocol, CASE WHEN l_partkey % 4 = 0 THEN 'any' ELSE 'host 10.0.0.' || (l_partkey % 200) END AS source, CASE WHEN l_partkey % 2 = 0 THEN 'any' ELSE '10.2.0.0 0.0.255.255' END AS destination, CAST(l_quantity AS BIGINT) % 5 AS hits FROM {{lineitem}}",
     "nat": f"SELECT DISTINCT 's' || (c_custkey % 3) AS scan_id, {host('c_custkey')} AS hostname, c_custkey AS k, c_custkey % 1000 AS active, c_custkey % 3 AS pools, (c_custkey * 7) % 101 AS util FROM {{customer}}",
     "items": f"SELECT 's' || (p_partkey % 3) AS scan_id, {host('(p_partkey % 100 + 1)')} AS hostname, p_partkey AS item_ord, CASE p_partkey % 8 WHEN 0 THEN 'Chassis' WHEN 1 THEN 'Switch 1' WHEN 2 THEN 'Switch 2 - Power' WHEN 3 THEN 'Fan_1' WHEN 4 THEN 'Slot 3' WHEN 5 THEN '1' WHEN 6 THEN 'xcvr-' || p_partkey ELSE 'Line card ' || p_partkey END AS name, p_name AS descr, {PIDS.format(k='p_partkey')} AS pid, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'SN' || p_partkey END AS sn FROM {{part}}",
-    "modules": f"SELECT 's' || (p_partkey % 3) AS scan_id, {host('(p_partkey % 100 + 1)')} AS hostname, p_partkey AS item_ord, CAST(p_size AS VARCHAR(9)) AS slot, p_type AS type, CASE p_partkey % 5 WHEN 0 THEN 'WS-C3750X-48' WHEN 1 THEN 'PVDM3-64' WHEN 2 THEN 'GBIC-SX' ELSE 'N9K-X9736-' || (p_partkey % 40) END AS model, 'M' || p_partkey AS serial FROM {{part}} WHERE p_partkey % 100 < 60",
-    "stack": f"SELECT 's' || (p_partkey % 3) AS scan_id, {host('(p_partkey % 100 + 1)')} AS hostname, p_partkey AS item_ord, CAST(p_partkey % 3 + 1 AS VARCHAR(9)) AS switch, CASE WHEN p_partkey % 3 = 0 THEN 'Active' ELSE 'Member' END AS role, {PIDS.format(k='(p_partkey + 4)')} AS model, 'V01' AS hw_ver, CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey END AS serial, {mac('p_partkey')} AS mac, CAST(p_size AS VARCHAR(9)) AS priority, 'Ready' AS state FROM {{part}} WHERE p_partkey % 10 < 4",
+    "modules": f"SELECT 's' || (p_partkey % 3) AS scan_id, {host('(p_partkey % 60 + 1)')} AS hostname, p_partkey AS item_ord, CAST(p_size AS VARCHAR(9)) AS slot, p_type AS type, CASE p_partkey % 5 WHEN 0 THEN 'WS-C3750X-48' WHEN 1 THEN 'PVDM3-64' WHEN 2 THEN 'GBIC-SX' ELSE 'N9K-X9736-' || (p_partkey % 40) END AS model, 'M' || p_partkey AS serial FROM {{part}}",
+    "stack": f"SELECT 's' || (p_partkey % 3) AS scan_id, {host('(p_partkey % 40 + 1)')} AS hostname, p_partkey AS item_ord, CAST(p_partkey % 3 + 1 AS VARCHAR(9)) AS switch, CASE WHEN p_partkey % 3 = 0 THEN 'Active' ELSE 'Member' END AS role, {PIDS.format(k='(p_partkey + 4)')} AS model, 'V01' AS hw_ver, CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey END AS serial, {mac('p_partkey')} AS mac, CAST(p_size AS VARCHAR(9)) AS priority, 'Ready' AS state FROM {{part}}",
     "versions": f"SELECT scan_id, hostname, CASE device_ord % 6 WHEN 0 THEN '15.2(4a)E10' WHEN 1 THEN '16.09.04' WHEN 2 THEN '7.0(3)I7(5)' WHEN 3 THEN '15.5(3)S4b' WHEN 4 THEN '' END AS version, CASE device_ord % 4 WHEN 0 THEN 'WS-C2960X-48FPD-L, WS-C2960X-48' WHEN 1 THEN 'C7009' WHEN 2 THEN '' END AS hardware, CASE WHEN device_ord % 3 = 0 THEN 'V' || device_ord END AS serial FROM devices",
     "lookups": " UNION ALL ".join(
         f"SELECT 's{g}' AS scan_id, 'hw:' || k AS key, CASE WHEN n % 4 = 3 THEN '2025-01-01' ELSE '2026-01-08' END AS fetched_at, CASE n % 5 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2026-06-30' WHEN 2 THEN '2031-01-01' WHEN 3 THEN '2031-01-01' ELSE '' END AS ldos, CASE n % 5 WHEN 2 THEN '2025-01-01' WHEN 3 THEN '2030-01-01' ELSE '' END AS eos, n % 7 = 6 AS unlisted"
-        " FROM (SELECT 'N9K-X9736-' || p_partkey AS k, p_partkey AS n FROM {part} WHERE p_partkey < 40 UNION ALL SELECT 'PWR-' || p_partkey, p_partkey FROM {part} UNION ALL SELECT 'WS-C2960X-48FPD-L', 0 FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'N7K-C7009', 1 FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'SG350-28P-K9', 2 FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'C9300-48P-A', 5 FROM {region} WHERE r_regionkey = 0) q"
+        " FROM (SELECT DISTINCT 'N9K-X9736-' || (p_partkey % 40) AS k, p_partkey % 40 AS n FROM {part} UNION ALL SELECT 'PWR-' || p_partkey, p_partkey FROM {part} UNION ALL SELECT k, CAST(n AS BIGINT) FROM (VALUES ('WS-C2960X-48FPD-L', 0), ('N7K-C7009', 1), ('SG350-28P-K9', 2), ('C9300-48P-A', 5)) v(k, n)) q"
         for g in range(3)
     ),
     "progress": "SELECT 'scan-' || user_id AS scan_id, event_id AS seq, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'scan_complete' WHEN event_id % 3 = 1 THEN 'scan_error' ELSE 'scan_started' END WHEN 'purchase' THEN 'device_complete' WHEN 'error' THEN 'device_failed' WHEN 'view' THEN 'layer_complete' ELSE 'collecting_data' END AS event, event_id % 4 = 0 AS skipped, CAST(user_id % 5 AS INT) AS depth FROM {events}",
