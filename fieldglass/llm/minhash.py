@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from .common import mix64, text_batches, written
 
 BANDS, ROWS, BITS = 40, 5, 2
-#: Rounds with one representative a bucket before what is left is read in tiles, and rows of a side of a tile on average.
-ROUNDS, CHUNK = 2, 2_000
+#: Rounds with one representative a bucket before what is left is read in tiles, and rows and hashes of a side of a tile on average.
+ROUNDS, CHUNK, CHUNK_HASHES = 2, 2_000, 1_000_000
 TILE = ["key", "lc", "rc"]
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
@@ -263,13 +263,19 @@ def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, lc int, rc int, side int, node bigint")
 
 
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of runs of equal values."""
+    new = np.flatnonzero(np.diff(x)) + 1
+    return ([0, *new.tolist()], [*new.tolist(), len(x)]) if len(x) else ([], [])
+
+
 def tile_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, from rows of tiles with bands, signatures and sets. A pair is looked at in the first bucket that it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_tiles(batches):
             bits, bands = _matrix(t, "bits"), _matrix(t, "bands")
-            key, node, label, n = (t.column(c).to_numpy() for c in ("key", "node", "label", "n"))
+            key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
             members = t.column("members")
             out, joined, sets = [], {}, {}
 
@@ -289,14 +295,23 @@ def tile_links(rows: DataFrame, percent: int) -> DataFrame:
                     at, joined, sets = begin, {}, {}
                 first = (bands[a] == bands[b]).argmax(axis=1)
                 mine = bands[a, first] == key[begin]
-                for i, j in zip(a[mine].tolist(), b[mine].tolist()):
-                    x, y = lead(int(label[i])), lead(int(label[j]))
-                    if x == y:
+                a, b = a[mine], b[mine]
+                for begins, ends in zip(*_runs(a)):
+                    i = int(a[begins])
+                    # All partners of a row at once: how many of each one's hashes the row has.
+                    others = [j for j in b[begins:ends].tolist() if lead(int(label[j])) != lead(int(label[i]))]
+                    if not others:
                         continue
-                    both = len(np.intersect1d(hashes(i), hashes(j), assume_unique=True))
-                    if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
-                        joined[max(x, y)] = min(x, y)
-                        out.append((int(node[i]), int(node[j])))
+                    own = hashes(i)
+                    sizes = np.array([len(hashes(j)) for j in others])
+                    flat = np.concatenate([hashes(j) for j in others])
+                    found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+                    for j in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                        x, y = lead(int(label[i])), lead(int(label[others[j]]))
+                        if x != y:
+                            joined[max(x, y)] = min(x, y)
+                            out.append((int(node[i]), int(node[others[j]])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
 
@@ -304,11 +319,13 @@ def tile_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(held: DataFrame) -> DataFrame:
-    """Rows (key, node, label, ...) of buckets with several components as rows of tiles (key, lc, rc, side): on side 0 members outside the bucket's largest component, on side 1 all. A bucket of many members has many tiles."""
-    by_label = held.groupBy("key", "label").agg(F.count("*").alias("n_label"))
-    bucket = by_label.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("rows"), F.max("n_label").alias("largest")).where("rows > largest")
-    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / CHUNK)).cast("int")
-    rows = held.join(bucket.select("key", "main", chunks(F.col("rows") - F.col("largest")).alias("_l"), chunks(F.col("rows")).alias("_r")), "key")
+    """Rows (key, node, label, n, ...) of buckets with several components as rows of tiles (key, lc, rc, side): on side 0 members outside the bucket's largest component, on side 1 all. A bucket of many members has many tiles."""
+    by_label = held.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"))
+    order = F.struct("rows", "label")
+    bucket = by_label.groupBy("key").agg(F.max_by(F.struct("label", "rows", "hashes"), order).alias("m"), F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes")).where(F.col("rows") > F.col("m.rows"))
+    chunks = lambda rows, hashes: F.greatest(F.lit(1), F.ceil(rows / CHUNK), F.ceil(hashes / CHUNK_HASHES)).cast("int")
+    sides = bucket.select("key", F.col("m.label").alias("main"), chunks(F.col("rows") - F.col("m.rows"), F.col("hashes") - F.col("m.hashes")).alias("_l"), chunks(F.col("rows"), F.col("hashes")).alias("_r"))
+    rows = held.join(sides, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     left = rows.where("label <> main").withColumn("lc", own(1, "_l")).withColumn("rc", every("_r")).withColumn("side", F.lit(0))
@@ -377,7 +394,7 @@ def node_labels(docs: DataFrame, sketch: DataFrame, size: int, percent: int) ->
     of = nodes.select("node", F.col("n_shingles").alias("n"), "bits")
     held = members.select("key", "node").join(labels, "node")
     split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = tiles(held.join(split, "key", "left_semi")).join(of, "node")
+    rows = tiles(held.join(split, "key", "left_semi").join(of, "node"))
     likely = written(likely_rows(by_tile(rows.select(*TILE, "side", "node", "label", "n", "bits")), percent))
     if likely.isEmpty():
         return labels
