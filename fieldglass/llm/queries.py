@@ -71,5 +71,32 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+#: Brute force in SQL: every pair of a query and another row.
+NEAREST = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+#: Targets by one level, and words taken in order of a hash, in windows over whole sources.
+MIXED = """
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, CASE rank % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END AS slope FROM s),
+c AS (SELECT *, CAST(source_size AS DOUBLE) * 3 AS cap, CAST(source_size AS DOUBLE) * 3 / CAST(weight AS DOUBLE) AS ratio FROM w),
+l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(CAST(weight AS DOUBLE)) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+g AS (SELECT source, source_size, slope, coalesce(least(cap, CAST(weight AS DOUBLE) * (SELECT arg_min(level, (ratio, rank)) FROM l WHERE level <= ratio)), 0) AS target FROM l),
+o AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('11:' || doc_id || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d),
+k AS (SELECT o.*, source_size, target, CAST(slope AS DOUBLE) AS a, CAST(floor(target) AS BIGINT) AS whole, CASE WHEN target > 0 THEN least(before / target, 1.0) END AS u FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  least(greatest(whole - before, 0), size) + least(greatest(whole - source_size - before, 0), size) + least(greatest(whole - 2 * source_size - before, 0), size) AS taken,
+  CASE WHEN target > 0 THEN 2 * u / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * u)) ELSE 0.0 END AS position
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ann": NEAREST, "op10_mixing": MIXED}
