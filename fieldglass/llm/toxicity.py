@@ -199,10 +199,10 @@ def mined_words(docs: DataFrame, told: DataFrame) -> Vocabulary:
     if not n1 or not n0:
         return Vocabulary.of(np.empty(0, np.uint64), np.empty(0, np.uint64))
     words = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
-    unique, where = np.unique(np.concatenate(words), return_inverse=True)
-    of = np.repeat(toxic, [len(x) for x in words])
-    k1 = np.bincount(where.ravel()[of], minlength=len(unique))
-    k = np.bincount(where.ravel(), minlength=len(unique))
+    unique, k = np.unique(np.concatenate(words), return_counts=True)
+    marked, n = np.unique(np.concatenate([w for w, y in zip(words, toxic) if y]), return_counts=True)
+    k1 = np.zeros(len(unique), np.int64)
+    k1[np.searchsorted(unique, marked)] = n
     share = n1 / (n1 + n0)
     z = (k1 - k * share) / np.sqrt(np.maximum(k * share * (1 - share), 1e-9))
     # A word of a label's noise is in few texts; one that marks a class has most of its texts there.
@@ -272,14 +272,17 @@ class Classifier:
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge regression on soft labels, by Newton's steps."""
-    x = np.hstack((x.astype(np.float64), np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], RIDGE)
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        move = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h, g = np.diag(ridge), -ridge * w
+        for i in range(0, len(x), 4096):  # few rows at a time in double precision
+            part = np.hstack((x[i : i + 4096].astype(np.float64), np.ones((len(x[i : i + 4096]), 1))))
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h += (part * (p * (1 - p))[:, None]).T @ part
+            g += part.T @ (y[i : i + 4096] - p)
+        move = np.linalg.solve(h, g)
         w += move
         if np.abs(move).max() < 1e-8:
             break
