@@ -155,9 +155,10 @@ def node_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
+    """A packed set, sorted."""
     out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
     out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return out.view("<u8").ravel()
+    return np.sort(out.view("<u8").ravel())  # kept bytes are the low ones, so the order of whole hashes is gone
 
 
 def shared_counts(pairs: DataFrame) -> DataFrame:

@@ -83,3 +83,21 @@ def test_small_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "ROUNDS", 1)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert got(minhash.near_duplicates(df, 2)) == brute(rows, 2, 80)
+
+
+def test_tiles_alone_find_every_link(spark, monkeypatch):
+    """Without rounds every link must come from tiles; sets of some 100 shingles, linked in pairs, chains and not at all."""
+    rng = __import__("random").Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(110)]
+        for v in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                w[rng.randrange(110)] = f"x{rng.randrange(100000)}"
+            rows.append((100 * v + g, " ".join(w)))
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows, 2, 80)
+    assert sum(w[1] != w[3] for w in want) > 20
+    assert got(minhash.near_duplicates(df, 2)) == want
