@@ -2,8 +2,8 @@
 
 A document's set holds the hashes (64 bits) of its distinct word shingles. Documents with one and the same set are one
 node. A node's minima under many hash functions give band keys (BANDS keys of ROWS minima each: at a similarity of 0.8
-a pair shares none with probability below 2e-7) and a signature of the low BITS bits of every minimum. Nodes that share
-a band key are candidates; equal low bits, corrected for chance, estimate their similarity, and only pairs whose
+a pair shares none with probability below 2e-7) and a signature of BITS mixed bits of every minimum. Nodes that share
+a band key are candidates; equal bits, corrected for chance, estimate their similarity, and only pairs whose
 estimate is more than five standard deviations too low are left out. What stays is confirmed on full sets.
 
 No bucket is expanded into all its pairs. First each member is compared with the bucket's most central members, those
@@ -110,7 +110,8 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             keys[:, b] = key
     per = 64 // BITS
     low = np.zeros((len(sets), LONGS * per), np.uint64)
-    low[:, :HASHES] = (least & np.uint32((1 << BITS) - 1)).T
+    # Low bits of x * odd + add agree or not for all functions alike; those of a mixed minimum are drawn anew by each.
+    low[:, :HASHES] = (mix64(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).T
     packed = (low.reshape(len(sets), LONGS, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
     return keys.view(np.int64), packed.view(np.int64)
 

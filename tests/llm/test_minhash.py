@@ -1,6 +1,7 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from fieldglass.llm import minhash
@@ -101,3 +102,14 @@ def test_tiles_alone_find_every_link(spark, monkeypatch):
     want = brute(rows, 2, 80)
     assert sum(w[1] != w[3] for w in want) > 20
     assert got(minhash.near_duplicates(df, 2)) == want
+
+
+def test_estimate_keeps_small_sets():
+    """Sets of 4 of 5 shingles are at 0.8 exactly: none of them may fall to the estimate."""
+    rng = np.random.default_rng(1)
+    small = [np.unique(rng.integers(0, 1 << 64, 4, np.uint64)) for _ in range(20_000)]
+    large = [np.unique(np.append(s, rng.integers(0, 1 << 64, 1, np.uint64))) for s in small]
+    x = minhash.sketches(small)[1].view(np.uint64) ^ minhash.sketches(large)[1].view(np.uint64)
+    unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+    chance = 1 / (1 << minhash.BITS)
+    assert (((1 - unequal / minhash.HASHES) - chance) / (1 - chance)).min() >= minhash.least_estimate(0.8)
