@@ -41,8 +41,8 @@ TILE = ["key", "lc", "rc"]
 SLACK = 5.0
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
-#: Bytes of a shingle's hash that confirmation compares, and words whose hashes a task keeps.
-SET_BYTES, CACHE_WORDS = 5, 500_000
+#: Words whose hashes a task keeps.
+CACHE_WORDS = 500_000
 
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = (_RNG.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -144,12 +144,12 @@ def sketched(df: DataFrame, size: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(text) -> node and its set, packed."""
+    """(text) -> node and its set, packed: whole hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches):
             sets = [s for s in shingle_sets(texts, size) if len(s)]
-            packed = [np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for s in sets]
+            packed = [s.astype("<u8").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(node_key, sets)), pa.int64()), pa.array(packed, pa.binary())], names=["node", "members"])
 
     return docs.select("text").mapInArrow(run, "node bigint, members binary")
@@ -157,9 +157,7 @@ def node_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _unpacked(packed: bytes) -> np.ndarray:
     """A packed set, sorted."""
-    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return np.sort(out.view("<u8").ravel())  # kept bytes are the low ones, so the order of whole hashes is gone
+    return np.frombuffer(packed, "<u8")
 
 
 def shared_counts(pairs: DataFrame) -> DataFrame:

@@ -113,3 +113,11 @@ def test_estimate_keeps_small_sets():
     unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
     chance = 1 / (1 << minhash.BITS)
     assert (((1 - unequal / minhash.HASHES) - chance) / (1 - chance)).min() >= minhash.least_estimate(0.8)
+
+
+def test_confirmation_has_whole_hashes(spark):
+    texts = [" ".join(f"w{i * j}" for i in range(50)) for j in range(1, 9)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sets = {r["node"]: minhash._unpacked(bytes(r["members"])) for r in minhash.node_sets(df, 2).collect()}
+    want = minhash.shingle_sets(texts, 2)
+    assert len(sets) == len(texts) and all((sets[minhash.node_key(s)] == s).all() for s in want)
