@@ -28,11 +28,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingles link it at 0.8: the one of the smallest id. Of rows equal in id and text one stays; rows without an id stay if one of them does."""
-    groups = minhash.near_duplicates(docs.select(*COLUMNS), size=5, percent=80)
-    ids = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    """One document of each group whose 5-word shingles link it at 0.8: the one of the smallest id, or one without an id where none has one. Of rows equal in id and text one stays."""
+    docs = docs.select(*COLUMNS).withColumn("row", F.md5("text"))
+    ids = minhash.one_of_each(docs, size=5, percent=80).toDF("_id", "_row")
+    held = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left_semi")
+    same = Window.partitionBy("doc_id", "row").orderBy("source", "lang")
     return held.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*COLUMNS)
 
 

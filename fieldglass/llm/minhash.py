@@ -123,10 +123,11 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketched(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, node, bands, bits; the last three are null for an empty set."""
+    """(doc_id, text) -> doc_id, n_shingles, node, bands, bits; the last three are null for an empty set. A column row, if there is one, comes along."""
+    own = ["doc_id", *(c for c in df.columns if c == "row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "bands", "bits"]
+        names = [*own, "n_shingles", "node", "bands", "bits"]
         for batch, texts in text_batches(batches):
             sets = shingle_sets(texts, size)
             full = np.array([len(s) > 0 for s in sets])
@@ -134,13 +135,13 @@ def sketched(df: DataFrame, size: int) -> DataFrame:
             if full.any():
                 some = [s for s in sets if len(s)]
                 keys, bits = sketches(some)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(full)), pa.array(list(map(len, some)), pa.int64()), pa.array(list(map(node_key, some)), pa.int64()), _lists(keys), _lists(bits)], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(full)) for c in own), pa.array(list(map(len, some)), pa.int64()), pa.array(list(map(node_key, some)), pa.int64()), _lists(keys), _lists(bits)], names=names)
             if not full.all():
                 n = int((~full).sum())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(~full)), pa.array([0] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(~full)) for c in own), pa.array([0] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
             del ids
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, bits array<bigint>")
+    return df.select(*own, "text").mapInArrow(run, f"doc_id bigint, {'row string, ' if 'row' in own else ''}n_shingles bigint, node bigint, bands array<bigint>, bits array<bigint>")
 
 
 def node_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -417,3 +418,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     out = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Of (doc_id, text, row), where row names the text, doc_id and row of one document of each component: that of the smallest id, or one without an id where none has one. Each text without words is by itself."""
+    docs = df.select("doc_id", "text", "row")
+    sketch = written(sketched(docs, size))
+    labels = node_labels(docs, sketch, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = sketch.where("node is not null").groupBy("node").agg(F.min(order).alias("r")).join(labels, "node", "left")
+    least = least.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("r").alias("r")).select("r.doc_id", "r.row")
+    return least.unionByName(sketch.where("node is null").select("doc_id", "row").distinct())

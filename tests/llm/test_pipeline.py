@@ -75,3 +75,12 @@ def test_odd_rows(spark, odd, none, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
         if n == "none":
             assert docs.collect() == []
+
+
+def test_near_copies_without_an_id(spark):
+    """Each group keeps one document: of rows without an id one, and none beside a row with an id."""
+    text = lambda name, odd: " ".join([f"{name}{i}" for i in range(80)] + [odd])
+    rows = [(7, text("a", "x")), (None, text("a", "y")), (None, text("b", "x")), (None, text("b", "y")), (None, text("b", "y")), (None, text("c", "x")), (9, text("d", "x")), (9, text("d", "y")), (8, text("a", "z")), (8, text("e", "x"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["text"][0], str(r["doc_id"])) for r in got) == [("a", "7"), ("b", "None"), ("c", "None"), ("d", "9"), ("e", "8")]
