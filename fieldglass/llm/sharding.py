@@ -72,7 +72,7 @@ def with_slots(sent: DataFrame, ranges: int, key: Column, keys: list[str]) -> Da
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_k", *keys))
-    return sent.withColumn("_i", place).join(offsets, ["shard", "_b"]).withColumn("slot", (F.col("_o") + F.col("_i") - 1).cast("int")).drop("_k", "_b", "_o", "_i")
+    return sent.withColumn("_i", place).join(offsets, ["shard", "_b"]).withColumn("slot", (F.col("_o") + F.col("_i") - 1).cast("long")).drop("_k", "_b", "_o", "_i")
 
 
 def digest(df: DataFrame, shards: int = 24) -> DataFrame:

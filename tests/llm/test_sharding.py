@@ -40,3 +40,7 @@ def test_matrix_has_exact_sums():
     assert m.sum(axis=1).tolist() == parts and np.ptp(m.sum(axis=0)) <= 1 and (m >= 0).all()
     big = sharding.communication_matrix([4_000_000_000, 3_000_000_000], 3, 1)
     assert big.sum(axis=1).tolist() == [4_000_000_000, 3_000_000_000] and np.ptp(big.sum(axis=0)) <= 1
+
+
+def test_slot_is_long(docs):
+    assert dict(sharding.digest(docs).dtypes)["slot"] == "bigint"
