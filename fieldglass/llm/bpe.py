@@ -6,8 +6,8 @@ The functions that symbols generate under composition form a finite set, so that
 batch is a lookup in a two-dimensional table: blocks are scanned side by side, then the blocks' totals, then both are
 composed. The slices between boundaries go through a cache of merged pairs.
 
-Null text counts as empty; an empty text has no tokens; texts of any length are encoded whole, a very long slice is
-merged with a heap. Rows keep their other columns. Columns named like an output replace nothing: they are dropped first.
+Null text counts as empty; an empty text has no tokens. Texts of any length are encoded whole: a long one goes through
+in pieces, cut where a slice begins whatever stands before; a very long slice is merged with a heap. Rows keep their other columns. Columns named like an output replace nothing: they are dropped first.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import categories, codepoints, text_batches
+from .common import CACHES, Recent, categories, codepoints, lean, slices, text_batches
 
-#: Slices that a task's cache holds before it starts afresh, and the longest slice kept.
-CACHE_SLICES, CACHE_BYTES = 400_000, 48
+#: Code points of a piece of a long text, about, and tokens decoded at a time.
+PIECE, TOKENS = 1 << 18, 1 << 16
 
 # Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -112,7 +112,7 @@ def symbols(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(flat: np.ndarray, ends: np.ndarray, block: int = 512) -> np.ndarray:
+def boundaries(flat: np.ndarray, ends: np.ndarray, block: int = 128) -> np.ndarray:
     """Places where a slice begins; the closing marks are among them."""
     compose, apply, begins = automaton()
     symbol = symbols(flat, ends)
@@ -184,25 +184,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-class Merged(dict):
+@functools.cache
+def cache_of(path: str) -> Recent:
     """Slice -> its ids as packed little-endian 32-bit integers."""
+    ranks = load_ranks(path)
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: bytes) -> bytes:
-        out = np.array(merge(piece, self.ranks), "<u4").tobytes()
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_SLICES:
-                self.clear()
-            self[piece] = out
-        return out
-
+    def packed(piece: bytes) -> bytes:
+        own = ranks.get(piece)
+        return own.to_bytes(4, "little") if own is not None else np.array(merge(piece, ranks), "<u4").tobytes()
 
-@functools.cache
-def cache_of(path: str) -> Merged:
-    return Merged(load_ranks(path))
+    return Recent(packed)
 
 
 @functools.cache
@@ -217,6 +208,9 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+CACHES += [load_ranks.cache_clear, cache_of.cache_clear, vocabulary.cache_clear]
+
+
 def encode_texts(texts: list[str], path: str) -> tuple[list[bytes], list[bytes]]:
     """For each text its packed ids and the packed ends of the tokens in its UTF-8 bytes."""
     flat, ends = codepoints(texts)
@@ -239,20 +233,46 @@ def encode_texts(texts: list[str], path: str) -> tuple[list[bytes], list[bytes]]
     return ids, stops
 
 
+def cuts(text: str) -> list[str]:
+    """A long text in pieces. A single space between other characters begins a slice in every state, so pieces can be encoded one by one."""
+    out, begin = [], 0
+    while len(text) - begin > 2 * PIECE:
+        at = begin + PIECE
+        while (at := text.find(" ", at, len(text) - 1)) >= 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at += 1
+        if at < 0:
+            break
+        out.append(text[begin:at])
+        begin = at
+    return [*out, text[begin:]]
+
+
+def encode_whole(text: str, path: str) -> tuple[bytes, bytes]:
+    """Packed ids and ends of one text, piece by piece."""
+    ids, stops, done = [], [], 0
+    for piece in cuts(text):
+        (own,), (ends,) = encode_texts([piece], path)
+        ids.append(own)
+        stops.append((np.frombuffer(ends, "<i4") + np.int32(done)).astype("<i4").tobytes())
+        done += len(piece.encode("utf-8", "surrogatepass"))
+    return b"".join(ids), b"".join(stops)
+
+
 def decode_ids(ids: list[bytes], stops: list[bytes], path: str) -> list[bytes]:
     """Bytes of each row of packed ids; the retained ends give every token's place in the result."""
     raw, start, length = vocabulary(path)
     out = []
     for a, b in zip(ids, stops):
-        token = np.frombuffer(a, "<u4")
-        end = np.frombuffer(b, "<i4").astype(np.int64)
-        size = length[token]
-        if not len(token):
-            out.append(b"")
-            continue
-        source = np.repeat(start[token] - (end - size), size)
-        source += np.arange(len(source))
-        out.append(raw[source].tobytes())
+        parts = []
+        for i in range(0, len(a) // 4, TOKENS):
+            token = np.frombuffer(a, "<u4")[i : i + TOKENS]
+            end = np.frombuffer(b, "<i4")[i : i + TOKENS].astype(np.int64)
+            size = length[token]
+            end = end - (end[0] - size[0])  # the first of these tokens begins at 0
+            source = np.repeat(start[token] - (end - size), size)
+            source += np.arange(len(source))
+            parts.append(raw[source].tobytes())
+        out.append(b"".join(parts))
     return out
 
 
@@ -268,11 +288,14 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, column):
-            ids, stops = encode_texts(texts, path)
+            if len(texts) == 1 and len(texts[0]) > 2 * PIECE:
+                ids, stops = ([x] for x in encode_whole(texts[0], path))
+            else:
+                ids, stops = encode_texts(texts, path)
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(stops, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, "n_tokens", "token_ids", "token_ends"])
 
-    return df.select(*kept, column).mapInArrow(run, schema)
+    return df.select(*kept, column).mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -283,12 +306,11 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in slices(whole, "token_ids"):
                 out = decode_ids(batch.column("token_ids").to_pylist(), batch.column("token_ends").to_pylist(), path)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def roundtrip(df: DataFrame, path: str) -> DataFrame:

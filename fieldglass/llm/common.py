@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import sys
-import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters that a batch of texts holds at most, unless one text alone is longer.
-BATCH_CHARS = 1_000_000
+#: Bytes of text that a batch holds at most, unless one text alone is longer.
+BATCH_BYTES = 1 << 18
+#: Bytes that each of a cache's two generations holds, and what an entry takes besides its key.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """A new folder in the one that the cluster shares, spark.checkpoint.dir, which must be set: executors elsewhere see no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fieldglass-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/fieldglass-{uuid.uuid4().hex}"
 
 
@@ -37,18 +40,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about `chars` characters of `column` each, and its texts ("" for null)."""
+def slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with `size` bytes of `column` at most, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin = 0
+    while begin < batch.num_rows:
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches and their texts ("" for null); only a part's texts become strings at a time."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        begin, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or "") + 1
-            if held >= chars:
-                yield batch.slice(begin, i + 1 - begin), [x or "" for x in texts[begin : i + 1]]
-                begin, held = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), [x or "" for x in texts[begin:]]
+        for part in slices(batch, column):
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
+class Recent(dict):
+    """What `make` gives for a key (bytes), kept for the keys used last: when a generation is full, the one before it goes."""
+
+    def __init__(self, make: Callable[[bytes], object]):
+        super().__init__()
+        self.make, self.old, self.room = make, {}, CACHE_BYTES
+
+    def __missing__(self, key: bytes):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self.room -= len(key) + ENTRY_BYTES
+        if self.room < 0:
+            self.old, self.room = dict(self), CACHE_BYTES
+            self.clear()
+        self[key] = out
+        return out
+
+    def empty(self) -> None:
+        self.clear()
+        self.old, self.room = {}, CACHE_BYTES
+
+
+#: What empties the caches of this folder's modules.
+CACHES: list[Callable[[], None]] = []
+
+
+def lean(run: Callable) -> Callable:
+    """`run` as a task that leaves nothing behind: Python workers serve other stages later, so caches are emptied and unused memory goes back when the rows end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    for empty in CACHES:
+        empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +137,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-
 def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, length and a 64-bit hash of each run of places that are `inside`; the hash is of the values in order."""
     at = np.flatnonzero(inside)

@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import categories, codepoints, lower_table, mix64, text_batches
+from .common import categories, codepoints, lean, lower_table, mix64, text_batches
 
 BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: Nats that a change of language costs, and the share of a language's letters that make a script its own.
 PENALTY, SCRIPT_SHARE = 8.0, 0.001
 UNKNOWN = "und"
-#: Characters worked on at a time.
-CHARS = 1_000_000
 
 # First and last code points of scripts.
 SCRIPTS = {
@@ -91,7 +89,7 @@ def train_counts(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch, texts in text_batches(batches, chars=CHARS):
+        for batch, texts in text_batches(batches):
             flat, ends = codepoints(texts)
             at, bucket, _ = letters_of(flat)
             doc = np.searchsorted(ends, at)
@@ -106,7 +104,7 @@ def train_counts(df: DataFrame) -> DataFrame:
             slot = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(n[slot], pa.int64())], names=["lang", "slot", "n"])
 
-    partial = df.select("text", "lang").mapInArrow(run, "lang string, slot int, n bigint")
+    partial = df.select("text", "lang").mapInArrow(lean(run), "lang string, slot int, n bigint")
     return partial.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -212,14 +210,14 @@ def language_spans(df: DataFrame, model: Model, column: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = pa.array(m.languages, pa.string())
-        for batch, texts in text_batches(batches, column, CHARS):
+        for batch, texts in text_batches(batches, column):
             doc, start, end, lang, letters = spans_of(texts, m)
             fields = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), names.take(pa.array(lang, pa.int64())), pa.array(letters, pa.int64())]
             values = pa.StructArray.from_arrays(fields, names=["start", "end", "lang", "letters"])
             offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, "spans"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def identified(df: DataFrame, model: Model, column: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_batches, written
+from .common import CACHES, Recent, lean, mix64, text_batches, written
 
 BANDS, ROWS, BITS = 40, 5, 2
 #: Rounds with one representative a bucket before what is left is read in tiles, and rows and hashes of a side of a tile on average.
@@ -41,8 +41,6 @@ TILE = ["key", "lc", "rc"]
 SLACK = 5.0
 HASHES = BANDS * ROWS
 LONGS = -(-HASHES * BITS // 64)
-#: Words whose hashes a task keeps.
-CACHE_WORDS = 500_000
 
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = (_RNG.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -50,15 +48,8 @@ ADD = _RNG.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = WordHash()
+_words = Recent(xxhash.xxh3_64_intdigest)
+CACHES.append(_words.empty)
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -131,7 +122,6 @@ def sketched(df: DataFrame, size: int) -> DataFrame:
         for batch, texts in text_batches(batches):
             sets = shingle_sets(texts, size)
             full = np.array([len(s) > 0 for s in sets])
-            ids = batch.column("doc_id").to_pandas().to_numpy()
             if full.any():
                 some = [s for s in sets if len(s)]
                 keys, bits = sketches(some)
@@ -139,9 +129,8 @@ def sketched(df: DataFrame, size: int) -> DataFrame:
             if not full.all():
                 n = int((~full).sum())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(~full)) for c in own), pa.array([0] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
-            del ids
 
-    return df.select(*own, "text").mapInArrow(run, f"doc_id bigint, {'row string, ' if 'row' in own else ''}n_shingles bigint, node bigint, bands array<bigint>, bits array<bigint>")
+    return df.select(*own, "text").mapInArrow(lean(run), f"doc_id bigint, {'row string, ' if 'row' in own else ''}n_shingles bigint, node bigint, bands array<bigint>, bits array<bigint>")
 
 
 def node_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -153,7 +142,7 @@ def node_sets(docs: DataFrame, size: int) -> DataFrame:
             packed = [s.astype("<u8").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(node_key, sets)), pa.int64()), pa.array(packed, pa.binary())], names=["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, members binary")
+    return docs.select("text").mapInArrow(lean(run), "node bigint, members binary")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -173,7 +162,7 @@ def shared_counts(pairs: DataFrame) -> DataFrame:
             columns = zip(*sizes) if sizes else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(list(c), pa.int64()) for c in columns]], names=["a", "b", "n_a", "n_b", "n_both"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, n_both bigint")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a bigint, b bigint, n_a bigint, n_b bigint, n_both bigint")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -261,7 +250,7 @@ def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
             if hit.any():
                 yield from t.select([*TILE, "side", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "key bigint, lc int, rc int, side int, node bigint")
+    return rows.mapInArrow(lean(run), "key bigint, lc int, rc int, side int, node bigint")
 
 
 def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
@@ -316,7 +305,7 @@ def tile_links(rows: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def tiles(held: DataFrame) -> DataFrame:

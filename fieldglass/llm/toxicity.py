@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import categories, codepoints, lower_table, run_hashes, text_batches
+from .common import categories, codepoints, lean, lower_table, run_hashes, text_batches
 
 #: Bounds of the samples that mining and fitting use.
 MINED_ROWS, FIT_ROWS = 20_000, 40_000
 #: Standard errors that a mined word needs, texts it must be in, and words mined at most.
 Z, LEAST_TEXTS, MOST_WORDS = 6.0, 5, 200
 ROUNDS, STEPS, RIDGE, CORRELATED = 60, 30, 1.0, 0.2
-CHARS = 1_000_000
 
 # Words that insult or threaten, by kind, in four languages.
 LEXICONS = {
@@ -186,14 +185,14 @@ def mined_words(docs: DataFrame, told: DataFrame) -> Vocabulary:
     """The lists with the words that tell toxic texts from others, without words that labels contradict; from MINED_ROWS labels at most, which are few enough to go to all executors. Of texts with one id one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, chars=CHARS):
+        for batch, texts in text_batches(batches):
             w = words_of(*codepoints(texts))
             pairs = np.unique(np.stack((w.doc.astype(np.uint64), w.hashes)), axis=1)
             at = np.searchsorted(pairs[0], np.arange(len(texts) + 1).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([pairs[1, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc_id", "toxic", "words"])
 
     own = docs.join(F.broadcast(sampled(told, MINED_ROWS)), "doc_id").select("doc_id", "label", "text")
-    rows = own.mapInArrow(run, "doc_id bigint, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.*").toArrow()
+    rows = own.mapInArrow(lean(run), "doc_id bigint, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.*").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
@@ -296,11 +295,11 @@ def learn(docs: DataFrame, told: DataFrame) -> Classifier:
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, chars=CHARS):
+        for batch, texts in text_batches(batches):
             votes, _ = look(texts, held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern(votes))], names=["doc_id", "pattern"])
 
-    voted = docs.mapInArrow(run, "doc_id bigint, pattern bigint").join(told, "doc_id", "left")
+    voted = docs.mapInArrow(lean(run), "doc_id bigint, pattern bigint").join(told, "doc_id", "left")
     counts = voted.groupBy("pattern", "label").agg(F.count("*").alias("n")).toArrow()  # one row for each pattern of votes
     votes_of = lambda p: (p[:, None] >> np.arange(len(VOTERS))) & 1 == 1
     patterns = counts.column("pattern").to_numpy()
@@ -310,11 +309,11 @@ def learn(docs: DataFrame, told: DataFrame) -> Classifier:
     model = label_model(votes_of(patterns), counts.column("label").fill_null(-1).to_numpy(), counts.column("n").to_numpy().astype(float))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, chars=CHARS):
+        for batch, texts in text_batches(batches):
             votes, x = look(texts, held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern(votes)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "pattern", "x"])
 
-    fit = sampled(docs, FIT_ROWS).mapInArrow(features, "doc_id bigint, pattern bigint, x binary").groupBy("doc_id").agg(F.min(F.struct("pattern", "x")).alias("r")).select("doc_id", "r.*")
+    fit = sampled(docs, FIT_ROWS).mapInArrow(lean(features), "doc_id bigint, pattern bigint, x binary").groupBy("doc_id").agg(F.min(F.struct("pattern", "x")).alias("r")).select("doc_id", "r.*")
     fit = fit.join(told, "doc_id", "left").select("pattern", "label", "x").toArrow()
     x = np.frombuffer(b"".join(fit.column("x").to_pylist()), np.float16).reshape(-1, width)
     y = model.posterior(votes_of(fit.column("pattern").to_numpy()), fit.column("label").fill_null(-1).to_numpy())
@@ -327,12 +326,12 @@ def scored(df: DataFrame, classifier: Classifier, column: str = "text") -> DataF
     held = df.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, column, CHARS):
+        for batch, texts in text_batches(batches, column):
             s = held.value.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = df.select(*kept).schema.add("score", "double").add("predicted", "integer")
-    return df.select(*kept, column).mapInArrow(run, schema)
+    return df.select(*kept, column).mapInArrow(lean(run), schema)
 
 
 def fold(column: str = "doc_id", folds: int = 5) -> Column:

@@ -47,3 +47,19 @@ def test_boundaries_of_any_text(texts):
     for text, own in zip(texts, ids):
         assert list(struct.unpack(f"<{len(own) // 4}I", own)) == coder.encode_ordinary(text)
     assert bpe.decode_ids(ids, stops, PATH) == [t.encode() for t in texts]
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a long text, with contractions, runs of space and no space at all around the cuts, give the ids of the whole."""
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    monkeypatch.setattr(bpe, "TOKENS", 7)
+    coder = library()
+    texts = ["it's  a\n\n  text we've 12 345 cut ' s anywhere d' here — and é ٣ there " * 30, "x" * 500, " " * 500, "a  b " * 100, "ends with a space " * 20]
+    for text in texts:
+        ids, stops = bpe.encode_whole(text, PATH)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == coder.encode_ordinary(text)
+        assert stops == bpe.encode_texts([text], PATH)[1][0]
+        assert bpe.decode_ids([ids], [stops], PATH) == [text.encode()]
+    assert len(bpe.cuts(texts[0])) > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.roundtrip(df, PATH).collect()) == [(i, *want(coder, t)) for i, t in enumerate(texts)]
