@@ -10,7 +10,9 @@ bounds are sure, results are those of brute force.
 Equal vectors of a tile are compared once; of their ids the k + 1 smallest are kept, as no more can be among k nearest.
 
 Vectors that are null, zero or hold null or non-finite components, and null ids, take no part; vectors of different
-lengths are never compared. Rows equal in id and vector count once; a query's own id is never its candidate; rows of
+lengths are never compared. Groups are sized by the bytes of their vectors, so long ones are in smaller groups; texts
+take no part. Columns of the input other than the two named are left out, so none can clash. Pairs whose bounds are
+beyond double precision are computed exactly. Rows equal in id and vector count once; a query's own id is never its candidate; rows of
 one id but different vectors are queries of their own. Ties go to the smaller id. An empty table gives no rows.
 """
 
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates that a group holds on average: SMALL while there are at most GROUPS groups, then more, up to LARGE. Queries of a group.
-SMALL, GROUPS, LARGE, QUERIES = 1_024, 64, 65_536, 65_536
+#: Candidates that a group holds on average: SMALL while there are at most GROUPS groups, then more, up to SIDE_BYTES of vectors. Queries of a group hold as much.
+SMALL, GROUPS, SIDE_BYTES = 1_024, 64, 16 << 20
 #: Rows and columns of what is held of a tile at a time.
 TILE = 512, 4_096
 
@@ -38,17 +40,26 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scale = np.abs(x).max(axis=1) / 127.0
     scale[scale == 0] = 1.0  # all components too small to divide
     q = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
-    error = np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):  # an error bound beyond all numbers excludes nothing
+        error = np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
     return q, scale, error * (1 + 1e-6) + 1e-12 * scale
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of row pairs, summed from the first component to the last."""
+    """Euclidean distances of row pairs, summed from the first component to the last; differences whose squares are no numbers, or vanish, are scaled first."""
     total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        d = x[:, j] - y[:, j]
-        total += d * d
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        for j in range(x.shape[1]):
+            d = x[:, j] - y[:, j]
+            total += d * d
+        out = np.sqrt(total)
+        odd = np.flatnonzero(~np.isfinite(total) | (total < 1e-280))
+        if len(odd):
+            half = x[odd] / 2 - y[odd] / 2
+            most = np.abs(half).max(axis=1, keepdims=True)
+            share = np.divide(half, most, out=np.zeros_like(half), where=most > 0)
+            out[odd] = 2 * (most[:, 0] * np.sqrt((share * share).sum(axis=1)))
+    return out
 
 
 def smallest(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -78,7 +89,8 @@ def tile(q_ids: np.ndarray, q_vectors: np.ndarray, c_ids: np.ndarray, c_vectors:
     exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # sums of products are whole numbers that this holds
     cq, cs, ce = quantised(unique)
     qq, qs, qe = quantised(q_vectors)
-    cn, qn = (cs * cs) * np.einsum("ij,ij->i", cq.astype(np.float64), cq.astype(np.float64)), (qs * qs) * np.einsum("ij,ij->i", qq.astype(np.float64), qq.astype(np.float64))
+    with np.errstate(over="ignore", under="ignore"):
+        cn, qn = (cs * cs) * np.einsum("ij,ij->i", cq.astype(np.float64), cq.astype(np.float64)), (qs * qs) * np.einsum("ij,ij->i", qq.astype(np.float64), qq.astype(np.float64))
     out = []
     for a in range(0, len(q_ids), TILE[0]):
         left = qq[a : a + TILE[0]].astype(exact)
@@ -87,15 +99,17 @@ def tile(q_ids: np.ndarray, q_vectors: np.ndarray, c_ids: np.ndarray, c_vectors:
         kth = np.full(n, np.inf)
         for b in range(0, len(unique), TILE[1]):
             dot = (left @ cq[b : b + TILE[1]].astype(exact).T).astype(np.float64)
-            square = qn[a : a + n, None] + cn[None, b : b + TILE[1]]
-            near = np.sqrt(np.maximum(square - 2 * dot * qs[a : a + n, None] * cs[None, b : b + TILE[1]], 0) + 0.0)
-            slack = qe[a : a + n, None] + ce[None, b : b + TILE[1]] + 1e-7 * np.sqrt(square)
-            width = near.shape[1]
-            most = near + slack
-            bound = kth
-            if width > k:  # k + 1 vectors, as one may be the query's own
-                bound = np.minimum(bound, np.partition(most, k, axis=1)[:, k])
-            i, j = np.nonzero(near - slack <= bound[:, None])
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                square = qn[a : a + n, None] + cn[None, b : b + TILE[1]]
+                near = np.sqrt(np.maximum(square - 2 * dot * qs[a : a + n, None] * cs[None, b : b + TILE[1]], 0) + 0.0)
+                slack = qe[a : a + n, None] + ce[None, b : b + TILE[1]] + 1e-7 * np.sqrt(square)
+                width = near.shape[1]
+                most = near + slack
+                bound = kth
+                if width > k:  # k + 1 vectors, as one may be the query's own
+                    bound = np.fmin(bound, np.partition(most, k, axis=1)[:, k])
+                # Pairs whose bounds are no numbers survive.
+                i, j = np.nonzero(~(near - slack > bound[:, None]))
             if not len(i):
                 continue
             score = distances(q_vectors[a + i], unique[b + j])
@@ -126,12 +140,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     """(query_id, rank, vec_id, score): the k nearest rows of every row for which `queries` holds, by Euclidean distance."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v")).withColumn("mark", F.xxhash64("v"))
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    groups = max(1, min(GROUPS, -(-n // SMALL)), -(-n // LARGE))
-    blocks = max(1, -(-asked // QUERIES))
+    # Rows equal in id and vector count once; a vector asks if any of them does.
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"), F.first("dim").alias("dim"), F.first("mark").alias("mark"))
+    n, held, asked = rows.agg(F.count("*"), F.sum(F.col("dim") * 8), F.sum(F.when(F.col("asks"), F.col("dim") * 8))).first()
+    groups = max(1, min(GROUPS, -(-n // SMALL)), -(-int(held or 0) // SIDE_BYTES))
+    blocks = max(1, -(-int(asked or 0) // SIDE_BYTES))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.select("id", "v", "dim", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("c"), every(blocks).alias("r"))
-    asking = rows.where("asks").select("id", "v", "dim", "mark", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int").alias("r"), every(groups).alias("c"))
+    candidates = rows.select("id", "v", "dim", F.pmod(F.xxhash64(F.lit(1), "id", "mark"), F.lit(groups)).cast("int").alias("c"), every(blocks).alias("r"))
+    asking = rows.where("asks").select("id", "v", "dim", "mark", F.pmod(F.xxhash64(F.lit(2), "id", "mark"), F.lit(blocks)).cast("int").alias("r"), every(groups).alias("c"))
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "mark", "vec_id", "score"]

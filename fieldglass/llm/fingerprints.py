@@ -6,9 +6,12 @@ hashed as a tuple. Two texts agree in a slot about as often as they share k-mers
 parts lower the likeness. The likeness of two fingerprints is the share of slots that agree.
 
 A text shorter than K is one k-mer; an empty text (or null) has a fingerprint of its own that is like no other text's.
-Documents meet the next one by ranges of doc_id: rows go to ranges, the first document of a range also goes to the
-range before it, and each task reads its range in order, so texts are moved once and no task holds more than two
-documents. Rows of equal id stand in order of their texts. An empty table gives an empty result.
+Texts of any length are hashed by one law; a task holds two texts at a time besides a batch, and some 50 bytes for each
+of their code points. Documents meet the next one by ranges of (doc_id, hash of the text, number of the row): rows go
+to ranges, the first document of a range also goes to the range before it, and each task reads its range in order, so
+texts are moved once. Range limits come from a sample, so a repeated id, null ids (they stand first) and repeated rows
+are spread over ranges like any others. Rows of equal id stand in order of the xxhash64 of their texts; rows equal in
+both are interchangeable. An empty table gives an empty result. Columns named like an output are dropped first.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import lean, mix64, text_batches
 
 K, SLOTS, TUPLE = 8, 64, 2
-#: Rows that a range holds on average, ranges at most, and k-mers hashed at a time.
-ROWS, MOST_RANGES, CHUNK = 500, 20_000, 1 << 12
+#: Rows that a range holds on average, ranges at most (beyond, ranges grow; a task still reads them row by row), rows of the sample for each range, and k-mers hashed at a time.
+ROWS, MOST_RANGES, SAMPLE, CHUNK = 500, 20_000, 20, 1 << 12
+#: Bits of a k-mer's hash that tell k-mers apart.
+MARK_BITS = 40
 
 _RNG = np.random.default_rng(77)
 MULTIPLY = (_RNG.integers(0, 1 << 32, SLOTS, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -51,13 +56,13 @@ def numbered_kmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 h ^= h >> np.uint64(29)
                 step *= 2
             h = mix64(h)
-        if n < 1 << 24:  # the place fits beside 40 bits of the hash
-            key = np.sort((h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64))
-            place = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-            mark = key >> np.uint64(24)
+        mark = h >> np.uint64(64 - MARK_BITS)
+        if n <= 1 << (64 - MARK_BITS):  # hash and place fit into one number, which sorts faster than two
+            key = np.sort((mark << np.uint64(64 - MARK_BITS)) | np.arange(n, dtype=np.uint64))
+            place = (key & np.uint64((1 << (64 - MARK_BITS)) - 1)).astype(np.int64)
         else:
-            place = np.argsort(h, kind="stable")
-            mark = h[place]
+            place = np.argsort(mark, kind="stable")
+        mark = mark[place]
         first = np.concatenate(([True], mark[1:] != mark[:-1]))
         begin = np.flatnonzero(first)
         number = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
@@ -110,51 +115,64 @@ def edited(points: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.concatenate((points[: len(points) - half], after[:half]))
 
 
-def range_starts(df: DataFrame, rows: int = ROWS) -> np.ndarray:
-    """The smallest key of each range of about `rows` rows, in order: a number for each range."""
-    keys = df.select(sort_key().alias("k"))
-    parts = min(MOST_RANGES, -(-keys.count() // rows))
-    if not parts:
-        return np.empty(0, np.int64)
-    splits = np.array(sorted({int(x) for x in keys.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)} if parts > 1 else []), np.int64)
-    starts = keys.groupBy(_part(splits)("k").alias("part")).agg(F.min("k").alias("k")).collect()
-    return np.array(sorted(r["k"] for r in starts), np.int64)
+def keyed(df: DataFrame) -> DataFrame:
+    """Rows with the key of their order: _k (doc_id; null stands first), _h (hash of the text) and _r (tells equal rows apart)."""
+    text = F.coalesce("text", F.lit(""))
+    return df.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(text).alias("_h"), F.xxhash64(F.monotonically_increasing_id()).alias("_r"))
+
+
+KEY = ["_k", "_h", "_r"]
 
 
-def sort_key():
-    """doc_id; null stands first."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def sortable(k: np.ndarray, h: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Keys as strings of 24 bytes in the same order."""
+    parts = np.stack([np.asarray(x, np.int64) for x in (k, h, r)], axis=1)
+    return np.ascontiguousarray((parts.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")).view("S24").ravel()
+
+
+def range_starts(df: DataFrame, rows: int = ROWS) -> np.ndarray:
+    """The smallest key of each range of about `rows` rows, in order: a number of rows for each range comes to the driver."""
+    n = df.count()
+    parts = min(MOST_RANGES, -(-n // rows))
+    if not parts:
+        return np.empty(0, "S24")
+    share = max(1, n // (parts * SAMPLE))
+    some = df.where(F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(share)) == 0).select(*KEY).toPandas()
+    keys = np.sort(sortable(*(some[c] for c in KEY)))
+    splits = np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if len(keys) else np.empty(0, "S24")
+    starts = df.groupBy(_part(splits)(*KEY).alias("part")).agg(F.min(F.struct(*KEY)).alias("s")).select("s.*").toPandas()
+    return np.sort(sortable(*(starts[c] for c in KEY)))
 
 
 def _part(splits: np.ndarray):
     @F.pandas_udf("int")
-    def part(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, k.to_numpy(), "right").astype(np.int32))
+    def part(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splits, sortable(k, h, r), "right").astype(np.int32))
 
     return part
 
 
-def _places(starts: np.ndarray):
+def _places(starts: np.ndarray) -> Column:
     """2 * range of a row; also 2 * the range before it + 1 if the row begins its range, where the first follows the last."""
 
     @F.pandas_udf("array<int>")
-    def places(k: pd.Series) -> pd.Series:
-        key = k.to_numpy()
+    def places(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
+        key = sortable(k, h, r)
         part = np.searchsorted(starts, key, "right") - 1
         return pd.Series([[2 * p, 2 * ((p - 1) % len(starts)) + 1] if x else [2 * p] for p, x in zip(part.tolist(), (starts[part] == key).tolist())])
 
-    return places
+    return places(*KEY)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of their range: every document against its edited text and the next document."""
     held, part = None, None  # id, points and fingerprint of the document that waits for the next one
-    for batch in batches:
+    for batch, texts in text_batches(batches):
         out = []
-        for place, doc, text in zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for place, doc, text in zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), texts):
             if held is None and place & 1:
                 continue
-            points = points_of(text or "")
+            points = points_of(text)
             print_ = fingerprint(points)
             if held is not None and part == place >> 1:
                 old, was, mark = held
@@ -173,13 +191,13 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 
 def digest(df: DataFrame) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to the edited text and to the next document."""
-    docs = df.select("doc_id", "text")
+    docs = keyed(df)
     starts = range_starts(docs)
     if not len(starts):
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    placed = docs.withColumn("place", F.explode(_places(starts)(sort_key())))
-    placed = placed.withColumn("_range", F.shiftright("place", 1)).repartition("_range").sortWithinPartitions("place", sort_key(), "text")
-    return placed.select("place", "doc_id", "text").mapInArrow(_compared, SCHEMA)
+    placed = docs.withColumn("place", F.explode(_places(starts)))
+    placed = placed.withColumn("_range", F.shiftright("place", 1)).repartition("_range").sortWithinPartitions("place", *KEY)
+    return placed.select("place", "doc_id", "text").mapInArrow(lean(_compared), SCHEMA)
 
 
 def fingerprints(df: DataFrame, column: str = "text") -> DataFrame:
@@ -187,8 +205,8 @@ def fingerprints(df: DataFrame, column: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c.lower() != "fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [fingerprint(points_of(t or "")).astype(">u2").tobytes().hex() for t in batch.column(column).to_pylist()]
+        for batch, texts in text_batches(batches, column):
+            marks = [fingerprint(points_of(t)).astype(">u2").tobytes().hex() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(marks, pa.string())], names=[*kept, "fingerprint"])
 
-    return df.select(*kept).mapInArrow(run, T.StructType([*df.select(*kept).schema, T.StructField("fingerprint", T.StringType())]))
+    return df.select(*kept).mapInArrow(lean(run), T.StructType([*df.select(*kept).schema, T.StructField("fingerprint", T.StringType())]))

@@ -7,10 +7,13 @@ put in random order again. Every arrangement is equally likely up to the hash, a
 
 Order within a shard comes from ranges of the random key: counts by shard and range give offsets, so no task holds a
 whole shard. Parts and ranges grow with the rows, at about ROWS rows each. The matrix has parts x shards numbers; it is
-drawn on the driver from the parts' counts alone and is joined as a small table of one row a part.
+drawn on the driver from the parts' counts alone and is joined as a small table of one row a part (MOST_PARTS x shards
+numbers at most; beyond MOST_PARTS x ROWS rows parts grow, and a part is sorted with spills, never held whole). Draws
+follow the hypergeometric law exactly at every size.
 
-Rows are told apart by the key columns; rows equal in all of them are interchangeable. Null keys hash like any value.
-An empty table gives an empty result. Existing columns named like an output are dropped first.
+Rows are told apart by the key columns; rows equal in all of them are interchangeable, and `numbered` tells them apart
+where there may be many. Null keys hash like any value. Texts only give their length and CRC, so their size does not
+matter. An empty table gives an empty result. Existing columns named like an output are dropped first.
 """
 
 from __future__ import annotations
@@ -21,6 +24,29 @@ from pyspark.sql import functions as F
 
 #: Rows that a logical part, or a range of a shard, holds on average; parts at most, which bounds the matrix.
 ROWS, MOST_PARTS = 100_000, 1 << 16
+#: Rows up to which numpy draws, and deviations around the mode that an inversion looks at (beyond lies less than 1e-80).
+NUMPY_ROWS, DEVIATIONS = 1_000_000_000, 20
+#: Equal rows that one task numbers.
+COPIES = 1 << 16
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of `sample` rows drawn without replacement are good ones, at any size.
+
+    Numpy draws from populations below NUMPY_ROWS. Beyond, the same law is inverted around its mode: neighbouring
+    probabilities have known ratios, so a window of them needs no factorials.
+    """
+    if good + bad < NUMPY_ROWS:
+        return int(rng.hypergeometric(good, bad, sample)) if sample and good + bad else 0
+    total = good + bad
+    low, high = max(0, sample - bad), min(sample, good)
+    mode = min(max((sample + 1) * (good + 1) // (total + 2), low), high)
+    width = int(DEVIATIONS * (sample * (good / total) * (bad / total) * ((total - sample) / max(1, total - 1))) ** 0.5) + 100
+    k = np.arange(max(low, mode - width), min(high, mode + width) + 1).astype(np.float64)
+    ratio = (good - k[:-1]) * (sample - k[:-1]) / (k[1:] * (bad - sample + k[1:]))
+    height = np.concatenate(([0.0], np.cumsum(np.log(ratio))))
+    mass = np.cumsum(np.exp(height - height.max()))
+    return int(k[np.searchsorted(mass, rng.random() * mass[-1], "right")])
 
 
 def communication_matrix(parts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -33,13 +59,7 @@ def communication_matrix(parts: list[int], shards: int, seed: int) -> np.ndarray
         rest, pool = n, int(left.sum())
         for s in range(shards - 1):
             pool -= int(left[s])
-            big = max(int(left[s]), pool) >= 1_000_000_000  # beyond the generator's range: its normal limit, held to what fits
-            if big:
-                share = left[s] / max(1, left[s] + pool)
-                spread = np.sqrt(max(rest * share * (1 - share) * (left[s] + pool - rest) / max(1, left[s] + pool - 1), 0))
-                take = int(np.clip(round(rng.normal(rest * share, spread)), max(0, rest - pool), min(rest, left[s])))
-            else:
-                take = int(rng.hypergeometric(left[s], pool, rest)) if rest and left[s] + pool else 0
+            take = hypergeometric(rng, int(left[s]), pool, rest)
             out[i, s] = take
             rest -= take
         out[i, shards - 1] = rest
@@ -75,9 +95,18 @@ def with_slots(sent: DataFrame, ranges: int, key: Column, keys: list[str]) -> Da
     return sent.withColumn("_i", place).join(offsets, ["shard", "_b"]).withColumn("slot", (F.col("_o") + F.col("_i") - 1).cast("long")).drop("_k", "_b", "_o", "_i")
 
 
+def numbered(rows: DataFrame, name: str = "copy") -> DataFrame:
+    """Equal rows with numbers from 0. They are counted before they are shuffled, and many equal ones are numbered by many tasks."""
+    keys = rows.columns
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    chunks = counts.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).repartition(*keys, "_c")
+    last = F.least(F.lit(COPIES), F.col("_n") - F.col("_c") * COPIES) - 1
+    return chunks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(*keys, (F.col("_c") * COPIES + F.col("_i")).alias(name))
+
+
 def digest(df: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; a null text has no bytes and the CRC of none."""
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffled_shards(rows, shards, ["doc_id", "text_crc32", "size"])
+    out = shuffled_shards(numbered(rows), shards, ["doc_id", "text_crc32", "size", "copy"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -50,6 +50,27 @@ def test_small_groups_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=7)]) for i in range(500)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    for name, value in (("SMALL", 37), ("QUERIES", 9), ("TILE", (4, 11))):
+    for name, value in (("SMALL", 37), ("SIDE_BYTES", 500), ("TILE", (4, 11))):
         monkeypatch.setattr(ann, name, value)
     same(got(ann.digest(df, 10)), brute(rows, 10, 10))
+
+
+def test_vectors_beyond_double_precision(spark):
+    """Squares that overflow or vanish exclude nothing: scores are those of scaled vectors."""
+    big = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [3e200, 1e200]), (3, [1.0, 1.0]), (100, [1e-200, 1e-200]), (5, [1e-200, 2e-200]), (6, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(big, "vec_id bigint, embedding array<double>")
+
+    def far(v, w):
+        most = max(abs(a / 2 - b / 2) for a, b in zip(v, w))
+        return 2 * (most * math.sqrt(sum(((a / 2 - b / 2) / most) ** 2 for a, b in zip(v, w)))) if most else 0.0
+
+    for r in ann.digest(df).collect():
+        assert math.isclose(r["score"], far(dict(big)[r["query_id"]], dict(big)[r["vec_id"]]), rel_tol=1e-12)
+    near = {q: [r["vec_id"] for r in sorted(ann.digest(df).where(f"query_id = {q}").collect(), key=lambda r: r["rank"])] for q in (0, 100)}
+    assert near[0] == sorted((i for i, _ in big if i), key=lambda i: (far(dict(big)[0], dict(big)[i]), i)) and near[100][0] == 5
+
+
+def test_a_repeated_row_is_no_hot_group(spark):
+    rows = [(200, [1.0, 2.0])] * 3000 + [(i, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    same(got(ann.digest(df, 20)), brute(rows, 20, 10))
