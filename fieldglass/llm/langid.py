@@ -9,7 +9,8 @@ more than two penalties, keeps that language on every best path, so paths run be
 
 Training counts come from all rows given; the model holds languages x BUCKETS numbers. A text that is null or has no
 letter has no span and the language "und" with score 0, as has every text if nothing was learned. Ties go to the
-first language by name. Rows keep their other columns; columns named like an output are dropped first.
+first language by name. A very long text is labelled whole, at some 100 bytes a code point. Repeated rows count and
+are answered each. Rows keep their other columns; columns named like an output are dropped first.
 """
 
 from __future__ import annotations
@@ -221,7 +222,7 @@ def language_spans(df: DataFrame, model: Model, column: str = "text") -> DataFra
 
 
 def identified(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """Adds lang_pred, the language with most letters, and score, its share of the letters."""
+    """Adds spans, lang_pred, the language with most letters, and score, its share of the letters."""
     df = language_spans(df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score")]), model, column)
 
     def letters(language=None):
@@ -232,7 +233,7 @@ def identified(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     top = F.when(F.size("spans") > 0, F.array_max(F.array(*shares))) if shares else F.lit(None).cast("struct<n:bigint,i:int,lang:string>")
     df = df.withColumn("_top", top)
     score = F.col("_top.n") / letters()
-    return df.withColumn("lang_pred", F.coalesce("_top.lang", F.lit(UNKNOWN))).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("_top", "spans")
+    return df.withColumn("lang_pred", F.coalesce("_top.lang", F.lit(UNKNOWN))).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("_top")
 
 
 def fold(column: str = "doc_id", folds: int = 3):
@@ -240,7 +241,8 @@ def fold(column: str = "doc_id", folds: int = 3):
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; learned from two thirds of the rows by the CRC of doc_id (a null id is held out)."""
+    """doc_id, held_out, lang_pred, score and spans (start:end:language, in order); learned from two thirds of the rows by the CRC of doc_id (a null id is held out)."""
     held_out = F.coalesce(fold() == 1, F.lit(True))
     model = learn(df.where(~held_out).select("text", "lang"))
-    return identified(df.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold() == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["lang"])), ",")
+    return identified(df.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold() == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", spans.alias("spans"))

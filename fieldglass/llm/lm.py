@@ -10,7 +10,9 @@ in which the piece before ends, so that many pieces are traversed side by side.
 The model grows with the corpus and is never in one place. Texts go to blocks of bounded size by a hash. A block sends
 its distinct n-grams, with their counts in training texts, to buckets by their hashes; a bucket adds them up over all
 blocks and answers each block with the totals of its own n-grams, in its own order. From those a block has the part of
-the automaton that its texts can reach. A frequent word is one n-gram a block, so no key is hot.
+the automaton that its texts can reach. A frequent word is one n-gram a block, so no key is hot. Buckets grow with the
+square root of the blocks, so B blocks exchange SPREAD * B^1.5 messages (each of many n-grams), not B^2; a bucket then
+holds sqrt(B) / SPREAD blocks' n-grams of one length at a time: some 100 MB for 30 GB of text, 600 MB for a TB.
 
 Texts travel to their blocks in compressed packs, n-grams as compressed differences of sorted keys.
 
@@ -21,6 +23,7 @@ repeated rows count each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +36,8 @@ from .common import codepoints, mix64, run_hashes, written
 
 #: Words of an n-gram at most, and the weight of the shorter context for n-grams of two and more words.
 ORDER, MU = 3, {2: 30.0, 3: 10.0}
-#: Bytes of text that a block holds on average, and tokens of a piece.
-BLOCK_BYTES, PIECE = 4_000_000, 2_048
+#: Bytes of text that a block holds on average, buckets for the square root of the blocks, and tokens of a piece.
+BLOCK_BYTES, SPREAD, PIECE = 4_000_000, 8, 2_048
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -237,8 +240,9 @@ def scored(df: DataFrame, train: Column, column: str = "text", order: int = ORDE
     rows = df.select(*kept, F.col(column).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    buckets = min(blocks, math.ceil(SPREAD * math.sqrt(blocks)))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*kept, "_text"), F.lit(blocks)).cast("int"))
-    answers = written(totals(packs(rows.select("_block", "_text", "_train")), blocks, order))
+    answers = written(totals(packs(rows.select("_block", "_text", "_train")), buckets, order))
     all_tokens, kinds = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
     out = rows.select(*kept).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
@@ -249,7 +253,7 @@ def scored(df: DataFrame, train: Column, column: str = "text", order: int = ORDE
         at = []
         for n, keys in enumerate(ngram_keys(tokens, count, order)):
             total = np.concatenate([_numbers(r[n]) for r in replies]).astype(np.int64)
-            at.append(total[Ngrams(keys, blocks, n + 1).where])
+            at.append(total[Ngrams(keys, buckets, n + 1).where])
         known, base, score = scores(tokens, count, at, all_tokens, kinds)
         columns = [pa.array(count.astype(np.int64)), pa.array(known), pa.array(np.full(len(count), all_tokens)), pa.array(base), pa.array(score)]
         return pa.table([texts.column(c) for c in kept] + columns, names=[*kept, *new])

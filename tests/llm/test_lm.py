@@ -67,3 +67,10 @@ def test_many_blocks_and_pieces(odd, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
     monkeypatch.setattr(lm, "PIECE", 7)
     check(lm.digest(odd), [(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_fewer_buckets_than_blocks(docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "SPREAD", 1)
+    few = docs.where("doc_id < 150")
+    check(lm.digest(few), [(r["doc_id"], r["text"]) for r in few.collect()])
