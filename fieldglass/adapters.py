@@ -37,17 +37,17 @@ ADAPTERS = {
         for g in range(3)
     ),
     "arp": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, 'Vlan' || l_linenumber AS interface, '10.' || (l_partkey % 256) || '.' || (l_orderkey % 256) || '.' || l_linenumber AS ip, {mac('l_partkey % 50')} AS mac, CAST(l_partkey % 240 AS VARCHAR(9)) AS age FROM {{lineitem}}",
-    "mac": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, upper({mac('l_partkey % 60')}) AS mac, CAST(l_partkey % 100 AS VARCHAR(9)) AS vlan, 'DYNAMIC' AS type, 'Gi0/' || l_linenumber AS ports FROM {{lineitem}} WHERE l_returnflag = 'R'",
+    "mac": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, upper({mac('l_partkey % 60')}) AS mac, CAST(l_partkey % 100 AS VARCHAR(9)) AS vlan, CASE l_returnflag WHEN 'R' THEN 'DYNAMIC' WHEN 'A' THEN 'STATIC' ELSE 'SECURE' END AS type, 'Gi0/' || l_linenumber AS ports FROM {{lineitem}}",
     "pairs": f"SELECT {SCAN.replace('l_', 'a.l_')} AS scan_id, a.l_suppkey AS ka, b.l_suppkey AS kb, a.l_linenumber AS ia, b.l_linenumber AS ib, a.l_orderkey AS o FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
-    "roots": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, 'VLAN00' || (l_partkey % 50) AS vlan_id, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE {mac('l_partkey % 3 + 1')} END AS root_address, CAST(CASE WHEN l_partkey % 2 = 0 THEN 32768 + l_partkey % 50 ELSE 4096 END AS VARCHAR(9)) AS root_priority, CAST(l_linenumber - 1 AS VARCHAR(9)) AS root_cost FROM {{lineitem}} WHERE l_returnflag = 'A'",
-    "vlan_names": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 60 AS VARCHAR(9)) AS vlan_id, CASE l_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'USERS_' || (l_partkey % 60) WHEN 2 THEN 'USER_' || (l_partkey % 60) ELSE CASE WHEN l_partkey % 120 < 60 THEN 'VLAN00' || (l_partkey % 60) ELSE 'SERVERS-LAB-' || (l_partkey % 7) END END AS name FROM {{lineitem}} WHERE l_returnflag = 'N'",
-    "blocked": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 40 AS VARCHAR(9)) AS vlan_id, 'Gi0/' || l_linenumber AS interface, CASE WHEN l_partkey % 3 = 0 THEN 'BKN*' ELSE 'BLK' END AS status, CASE WHEN l_partkey % 3 = 0 THEN 'BA_Inc' ELSE '' END AS reason FROM {{lineitem}} WHERE l_returnflag = 'A'",
+    "roots": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, 'VLAN00' || (l_partkey % 50) AS vlan_id, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE {mac('l_partkey % 3 + 1')} END AS root_address, CAST(CASE WHEN l_partkey % 2 = 0 THEN 32768 + l_partkey % 50 ELSE 4096 END AS VARCHAR(9)) AS root_priority, CAST(l_linenumber - 1 AS VARCHAR(9)) AS root_cost FROM {{lineitem}}",
+    "vlan_names": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 60 AS VARCHAR(9)) AS vlan_id, CASE l_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'USERS_' || (l_partkey % 60) WHEN 2 THEN 'USER_' || (l_partkey % 60) ELSE CASE WHEN l_partkey % 120 < 60 THEN 'VLAN00' || (l_partkey % 60) ELSE 'SERVERS-LAB-' || (l_partkey % 7) END END AS name FROM {{lineitem}}",
+    "blocked": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, l_suppkey AS device_ord, {LINE} AS item_ord, CAST(l_partkey % 40 AS VARCHAR(9)) AS vlan_id, 'Gi0/' || l_linenumber AS interface, CASE WHEN l_partkey % 3 = 0 THEN 'BKN*' ELSE 'BLK' END AS status, CASE WHEN l_partkey % 3 = 0 THEN 'BA_Inc' ELSE '' END AS reason FROM {{lineitem}}",
     "ports": f"SELECT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, {LINE} AS item_ord, 'Gi' || l_linenumber || '/' || (l_partkey % 48) AS interface, CASE l_partkey % 3 WHEN 0 THEN 'static access' WHEN 1 THEN 'Trunk' ELSE '' END AS mode, CAST(l_partkey % 5 AS VARCHAR(9)) AS native_vlan, CASE WHEN l_partkey % 2 = 0 THEN 'ALL' ELSE '10,20' END AS allowed_vlans, CASE WHEN l_partkey % 7 = 0 THEN '100' ELSE '' END AS voice_vlan FROM {{lineitem}}",
-    "port_flags": f"SELECT DISTINCT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, 'gi' || l_linenumber || '/' || (l_partkey % 48) AS interface, l_partkey % 2 AS kind FROM {{lineitem}} WHERE l_returnflag = 'R'",
+    "port_flags": f"SELECT DISTINCT {SCAN} AS scan_id, {host('l_suppkey')} AS hostname, 'gi' || l_linenumber || '/' || (l_partkey % 48) AS interface, l_partkey % 2 AS kind FROM {{lineitem}}",
     "configs": "SELECT scan_id, hostname, device_ord, CASE device_ord % 4 WHEN 0 THEN 'hostname x spanning-tree portfast bpduguard default' WHEN 1 THEN 'interface y spanning-tree bpduguard enable spanning-tree guard root' WHEN 2 THEN 'plain' ELSE '' END AS config FROM devices",
     "ip_flat": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_custkey % 400 AS device_ord, o_orderkey AS item_ord, CASE o_orderkey % 5 WHEN 0 THEN 'Vlan' || (o_orderkey % 90) WHEN 1 THEN 'GigabitEthernet0/' || (o_orderkey % 48) WHEN 2 THEN 'Loopback' || (o_orderkey % 10) WHEN 3 THEN 'Port-channel' || (o_orderkey % 20) ELSE 'mgmt0' END AS interface, {IP} AS ip1, CAST(22 + o_orderkey % 9 AS VARCHAR(9)) AS p1, CASE WHEN o_orderkey % 6 = 0 THEN '172.' || (16 + o_orderkey % 16) || '.' || (o_orderkey % 250) || '.1' END AS ip2, CASE WHEN o_orderkey % 12 = 0 THEN '16' ELSE '25' END AS p2, o_orderkey % 2 = 1 AS nx FROM {{orders}}",
-    "hsrp": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, 'Vlan' || (o_orderkey % 90) AS interface, CAST(o_orderkey % 10 AS VARCHAR(9)) AS grp, CAST(90 + o_orderkey % 30 AS VARCHAR(9)) AS priority, CASE o_orderkey % 11 WHEN 0 THEN 'Init' WHEN 1 THEN '' WHEN 2 THEN 'standby' ELSE 'Active' END AS state, '10.0.' || (o_orderkey % 250) || '.254' AS virtual_ip FROM {{orders}} WHERE o_orderstatus = 'F'",
-    "intf_notes": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, CASE WHEN o_orderkey % 2 = 0 THEN 'gigabitethernet0/' || (o_orderkey % 48) ELSE 'PORT-CHANNEL' || (o_orderkey % 20) END AS interface, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'to ' || (o_orderkey % 97) END AS description FROM {{orders}} WHERE o_orderstatus <> 'P'",
+    "hsrp": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, 'Vlan' || (o_orderkey % 90) AS interface, CAST(o_orderkey % 10 AS VARCHAR(9)) AS grp, CAST(90 + o_orderkey % 30 AS VARCHAR(9)) AS priority, CASE o_orderkey % 11 WHEN 0 THEN 'Init' WHEN 1 THEN '' WHEN 2 THEN 'standby' ELSE 'Active' END AS state, '10.0.' || (o_orderkey % 250) || '.254' AS virtual_ip FROM {{orders}}",
+    "intf_notes": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, CASE WHEN o_orderkey % 2 = 0 THEN 'gigabitethernet0/' || (o_orderkey % 48) ELSE 'PORT-CHANNEL' || (o_orderkey % 20) END AS interface, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'to ' || (o_orderkey % 97) END AS description FROM {{orders}}",
     "route_counts": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 400)')} AS hostname, o_orderkey AS item_ord, CASE o_orderkey % 8 WHEN 0 THEN 'connected' WHEN 1 THEN 'static' WHEN 2 THEN 'ospf 1' WHEN 3 THEN 'eigrp 10' WHEN 4 THEN 'bgp 65001' WHEN 5 THEN 'BGP' WHEN 6 THEN 'isis' ELSE 'local' END AS source, CASE WHEN o_orderkey % 50 = 7 THEN 'n/a' ELSE CAST(o_orderkey % 10 AS VARCHAR(9)) END AS cnt FROM {{orders}}",
     "bgp": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('o_custkey')} AS hostname, o_orderkey AS item_ord, '192.0.' || (o_orderkey % 256) || '.' || (o_custkey % 256) AS neighbor, CAST(64512 + o_orderkey % 1000 AS VARCHAR(9)) AS asn, CASE o_orderstatus WHEN 'F' THEN 'Established' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Idle' ELSE 'Established' END ELSE 'Active' END AS state, CAST(o_orderkey % 500 AS VARCHAR(9)) AS prefixes_received, '0' || (o_orderkey % 10) || ':00:00' AS up_down FROM {{orders}}",
     "ospf_if": f"SELECT 's' || (o_orderkey % 3) AS scan_id, {host('(o_custkey % 300)')} AS hostname, o_orderkey AS item_ord, 'Gi0/' || (o_orderkey % 48) AS interface, CAST(o_custkey % 20 AS VARCHAR(9)) AS area, CASE WHEN o_orderkey % 40 = 3 THEN 'x' ELSE CAST(CASE WHEN o_custkey % 20 < 5 THEN 1 + o_orderkey % 7 ELSE 1 + (o_orderkey % 30) * 10 END AS VARCHAR(9)) END AS cost, 'DR' AS state, CAST(o_orderkey % 4 AS VARCHAR(9)) AS nbrs FROM {{orders}}",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir), so that lineage stays short."""
+    """df as a table in the folder that the cluster shares (spark.checkpoint.dir, which must be set), so that lineage stays short."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fieldglass-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/fieldglass-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

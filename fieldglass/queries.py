@@ -17,7 +17,7 @@ from .parsers import neighbors as p_neighbors
 from .parsers import routing as p_routing
 from .parsers import switching as p_switching
 from .plans import edge, flat, l2, l3, lifecycle, topology
-from .sources.platforms import platform_descriptions, platform_names
+from .sources.platforms import PLATFORMS, platform_descriptions
 from .sources.scans import host_list, interface_addresses
 from .streaming.progress import live_state
 
@@ -110,7 +110,7 @@ SITE = "split_part({h}, '-', 1)"
 site = lambda h="hostname": SITE.format(h=h)
 
 register("A1_arp_summary", flat.arp_summary, with_("arp") + "SELECT scan_id, hostname AS device, interface, count(*) AS entry_count FROM arp GROUP BY ALL")
-register("S13_arp_detail", flat.arp_detail, with_("arp") + "SELECT scan_id, hostname AS device, interface, ip, mac, age FROM arp")
+register("F18_arp_detail", flat.arp_detail, with_("arp") + "SELECT scan_id, hostname AS device, interface, ip, mac, age FROM arp")
 register("F18_mac_table", flat.mac_table, with_("mac") + "SELECT scan_id, hostname AS device, mac AS mac_address, vlan, type, ports AS port FROM mac")
 register(
     "J1_arp_mac_map", l3.arp_mac_map,
@@ -134,7 +134,7 @@ register(
     " SELECT scan_id, id, id AS label, type, CASE type WHEN 'switch' THEN '#00D9FF' WHEN 'router' THEN '#FF4444' ELSE '#999999' END AS color, id AS full_name, is_seed, false AS has_routing, CAST(0 AS BIGINT) AS arp_count FROM k",
 )
 
-DESCRIBED = ", d AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in platform_names()) + ") v(pid, description)) "
+DESCRIBED = ", d AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PLATFORMS.items()) + ") v(pid, description)) "
 register(
     "J16_inventory_devices", flat.inventory_devices,
     with_("devices", "versions", "items") + DESCRIBED + ", i AS (SELECT scan_id, hostname, sn FROM items WHERE item_ord = 0)"

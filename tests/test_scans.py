@@ -184,13 +184,26 @@ def test_archives_maps_and_trees(t):
     assert '"id":"LAB-CORE"' in page and '"is_seed":true' in page and page.count('"source":') == 1
     ET.fromstring(sinks.export(t, "topology_map", "scan-l2", "svg"))
     links = [{"local_device": "a", "remote_device": "b", "local_intf": "1", "remote_intf": "2", "remote_ip": "10.0.0.2", "protocols": ["CDP"]}]
-    assert sinks.tree({"a": "10.0.0.1", "b": ""}, links, "a") == "a (10.0.0.1)\n└─[CDP] 1 ↔ 2 (10.0.0.2)\n   b"
+    assert sinks.tree({"a": "10.0.0.1", "b": ""}, links, "a") == "a (10.0.0.1)\n   └─[CDP] 1 ↔ 2 (10.0.0.2)\n      b"
+    near = [{"local_device": a, "remote_device": b, "local_intf": a, "remote_intf": b} for a, b in ("ab", "ac", "bd")]
+    assert sinks.tree(dict.fromkeys("abcd", ""), near) == "a\n   ├─ a ↔ b\n   │  b\n   │  │  └─ b ↔ d\n   │  │     d\n   └─ a ↔ c\n      c"
     assert sinks.tree({}, []) == "No devices discovered"
 
 
 def test_tables_of_sheets(t, spark, tmp_path):
     sinks.write_sheets(t, str(tmp_path), "arp_summary")
     assert spark.read.parquet(f"{tmp_path}/arp_summary/summary").count() == 2
+    for kind, start in (("json", '{"Device":'), ("csv", "SW1,"), ("xml", '<row><field name="Device">')):
+        sinks.write_sheets(t, f"{tmp_path}/{kind}", "arp_summary", kind)
+        rows = spark.read.text(f"{tmp_path}/{kind}/arp_summary/summary").collect()
+        assert len(rows) == 2 and all(r["value"].startswith(start) for r in rows), rows
+
+
+def test_drawing_of_a_network(t):
+    svg = ET.fromstring(sinks.export(t, "topology_map", "scan-l2", "svg"))
+    tags = [e.tag.split("}")[1] for e in svg]
+    n = t["devices"].where("scan_id = 'scan-l2'").count()
+    assert tags.count("g") >= n and tags.count("path") == 1 and tags.index("path") < tags.index("g")
 
 
 def test_merged_neighbors(spark):
