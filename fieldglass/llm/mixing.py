@@ -10,9 +10,11 @@ running sums over the sources in order of size to weight.
 
 Documents of a source stand in hash order; the mix goes through them again and again until the target is reached, so
 a document is taken floor(target / source size) times, or once more, and one document of each source in part. Places
-come from counts by source and range of the hash, so no task holds a whole source.
+come from counts by source and range of the hash, so no task holds a whole source; only the counts, one row a source
+and range, are summed by source.
 
-Null source is a source of its own, after all others; a null text has size 0 and is taken 0 times. Rows equal in id
+Null source is a source of its own, after all others; a null text has size 0 and is taken 0 times. Of a text only the
+number of words matters, however long it is. Rows equal in id
 and text are interchangeable. An empty table gives an empty result. Columns named like an output are dropped first.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 WEIGHTS = [5, 2, 1]
 SLOPES = [-0.5, 0.0, 0.5]
 #: Times its size that a document is taken at most; rows that a range of a source holds on average if one source has all.
-MOST, ROWS = 3, 50_000
+MOST, ROWS = 3, 4_000
 #: Words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 
