@@ -298,10 +298,10 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     return df.select(*kept, column).mapInArrow(lean(run), schema)
 
 
-def decode(df: DataFrame, path: str) -> DataFrame:
-    """Replaces token_ids and token_ends by `decoded`, the bytes they stand for."""
+def decode(df: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Replaces token_ids and token_ends by `decoded`, the bytes they stand for; token_ids stay if asked for."""
     df = _free(df, "decoded")
-    kept = [c for c in df.columns if c not in ("token_ids", "token_ends")]
+    kept = [c for c in df.columns if c != "token_ends" and (keep_ids or c != "token_ids")]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

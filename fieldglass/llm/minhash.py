@@ -13,6 +13,9 @@ component against all. Tiles compare signatures first and full sets of what pass
 components, so what is emitted is linear in the members and no link between components is lost. Components come from
 alternating stars; every step is a partial aggregation and a join, and goes to a table in the shared folder.
 
+Texts of any length are taken whole: a set takes 8 bytes a shingle, and a task holds those of a batch or of a tile. Ties,
+that is pairs at the threshold exactly, are links.
+
 A row without an id has one from its group, if any row of it has one, and is kept if none has.
 A text without words, or null, has an empty set, is linked with nothing and is kept. With fewer words than a shingle
 takes, the whole sequence is the one shingle. Every row gets a row; rows of one id are treated by their texts.
@@ -182,18 +185,18 @@ def least_estimate(threshold: float) -> float:
 
 def sets_of(wanted: DataFrame, sketch: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, members) of distinct wanted nodes, as a table: one document of each is read again."""
-    ids = sketch.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    # One row a node before any join, so that many copies of a text are no hot key.
+    ids = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
     own = docs.select("doc_id", "text").join(ids.toDF("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return written(node_sets(own, size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose sets share enough, as a table."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent / 100)))
     likely = written(likely.select("a", "b"))
-    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sketch, docs, size)
     of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
     counted = shared_counts(likely.join(of("a"), "a").join(of("b"), "b"))
     return written(counted.where(100 * F.col("n_both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"))
@@ -220,10 +223,10 @@ def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return c.flatten().to_numpy().reshape(t.num_rows, -1)
 
 
-def _passing(t: pa.Table, bits: np.ndarray, bounds: list[int], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each tile (its first row), row pairs of left and right side in different components whose sizes and estimates allow a link."""
-    side, label, n = (t.column(c).to_numpy() for c in ("side", "label", "n"))
-    bits = bits.view(np.uint64)
+def _passing(t: pa.Table, bounds: list[int], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each tile (its first row), row pairs of left and right side in different components whose sizes and estimates allow a link, and whose first shared bucket is the tile's."""
+    side, label, n, key = (t.column(c).to_numpy() for c in ("side", "label", "n", "key"))
+    bits, bands = _matrix(t, "bits").view(np.uint64), _matrix(t, "bands")
     most = HASHES * (1 - (least_estimate(percent / 100) * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))  # unequal minima at most
     odd = np.uint64(0x5555555555555555)
     for begin, end in zip(bounds, bounds[1:]):
@@ -235,8 +238,10 @@ def _passing(t: pa.Table, bits: np.ndarray, bounds: list[int], percent: int) ->
             x = bits[a[i]] ^ bits[right[j]]
             far = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
             keep = far <= most
-            if keep.any():
-                yield begin, a[i[keep]], right[j[keep]]
+            x, y = a[i[keep]], right[j[keep]]
+            mine = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[begin]
+            if mine.any():
+                yield begin, x[mine], y[mine]
 
 
 def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +250,7 @@ def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_tiles(batches):
             hit = np.zeros(t.num_rows, bool)
-            for _, a, b in _passing(t, _matrix(t, "bits"), bounds, percent):
+            for _, a, b in _passing(t, bounds, percent):
                 hit[a] = hit[b] = True
             if hit.any():
                 yield from t.select([*TILE, "side", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
@@ -260,12 +265,11 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def tile_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components, from rows of tiles with bands, signatures and sets. A pair is looked at in the first bucket that it shares."""
+    """Links (a, b) that join components, from rows of tiles with bands, signatures and sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_tiles(batches):
-            bits, bands = _matrix(t, "bits"), _matrix(t, "bands")
-            key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
+            node, label = (t.column(c).to_numpy() for c in ("node", "label"))
             members = t.column("members")
             out, joined, sets = [], {}, {}
 
@@ -280,12 +284,9 @@ def tile_links(rows: DataFrame, percent: int) -> DataFrame:
                 return sets[i]
 
             at = -1
-            for begin, a, b in _passing(t, bits, bounds, percent):
+            for begin, a, b in _passing(t, bounds, percent):
                 if begin != at:
                     at, joined, sets = begin, {}, {}
-                first = (bands[a] == bands[b]).argmax(axis=1)
-                mine = bands[a, first] == key[begin]
-                a, b = a[mine], b[mine]
                 for begins, ends in zip(*_runs(a)):
                     i = int(a[begins])
                     # All partners of a row at once: how many of each one's hashes the row has.
@@ -363,6 +364,7 @@ def node_labels(docs: DataFrame, sketch: DataFrame, size: int, percent: int) ->
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("full")).where("lo <> hi").select("key", "full")
     members = written(keyed.join(shared, "key").groupBy("key", "node").agg(F.max("full").alias("full")))
     labels = written(members.select("node").distinct().withColumn("label", F.col("node")))
+    sets = sets_of(labels.select("node"), sketch, docs, size)
     # The most central members of each bucket; only ROUNDS rows of a bucket leave a task.
     central = members.groupBy("node").agg(F.sum("full").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
@@ -378,19 +380,17 @@ def node_labels(docs: DataFrame, sketch: DataFrame, size: int, percent: int) ->
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = confirmed(pairs, nodes, sketch, docs, size, percent)
+        links = confirmed(pairs, nodes, sets, percent)
         if not links.isEmpty():
             labels = relabelled(labels, links)
-    of = nodes.select("node", F.col("n_shingles").alias("n"), "bits")
+    of = some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     held = members.select("key", "node").join(labels, "node")
     split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rows = tiles(held.join(split, "key", "left_semi").join(of, "node"))
-    likely = written(likely_rows(by_tile(rows.select(*TILE, "side", "node", "label", "n", "bits")), percent))
+    likely = written(likely_rows(by_tile(rows.select(*TILE, "side", "node", "label", "n", "bits", "bands")), percent))
     if likely.isEmpty():
         return labels
-    sets = sets_of(likely.select("node").distinct(), sketch, docs, size)
-    bands = some.groupBy("node").agg(F.first("bands").alias("bands"))
-    full = likely.join(sets.join(of, "node").join(bands, "node").join(labels, "node"), "node")
+    full = likely.join(sets.join(of, "node").join(labels, "node"), "node")
     links = written(tile_links(by_tile(full.select(*TILE, "side", "node", "label", "n", "bits", "bands", "members")), percent))
     return labels if links.isEmpty() else relabelled(labels, links)
 
