@@ -20,7 +20,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language, which lang then names; those without letters or with no main language go."""
+    """Documents with a main language, which lang then names; those without letters (null and empty texts among them) or with no main language go. Repeated rows stay; an empty table gives an empty one."""
     docs = docs.select(*COLUMNS)
     model = langid.learn(docs.select("text", "lang"))
     found = langid.identified(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
@@ -37,26 +37,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; what is personal gives way to its kind in brackets."""
+    """All documents; what is personal gives way to its kind in brackets. Null texts stay null, empty and repeated rows stay; an empty table gives an empty one."""
     found = pii.find_pii(docs.select(*COLUMNS))
     out = found.withColumn("text", pii.redacted(F.col("text"), F.col("pii")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (those that it doesn't take go), sorted by training position."""
+    """Documents as often as the mix takes them (those that it doesn't take go), sorted by training position. A null text has no words and comes once, as any without words; a null source is one of its own; repeated rows count each; an empty table gives an empty one."""
     sized = docs.select(*COLUMNS).withColumn("size", mixing.words(F.col("text")))
     keys = ["doc_id", "size"]
     return mixing.training_order(mixing.schedule(sized, keys), keys).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its bytes."""
+    """Ids of every document, and whether they decode to its bytes. A null text counts as empty, which has no ids; repeated rows give repeated rows; an empty table gives an empty one."""
     path = public_tokenizers.path(RANKS)
     rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_sha"), "text")
-    coded = bpe.encode(rows, path).withColumn("ids", F.col("token_ids"))
-    back = bpe.decode(coded, path)
-    return back.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("token_ids"), (F.sha2("decoded", 256) == F.col("_sha")).alias("decodes"))
+    back = bpe.decode(bpe.encode(rows, path), path, keep_ids=True)
+    return back.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("decodes"))
 
 
 STAGES = [
