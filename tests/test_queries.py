@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from fieldglass import queries
+from fieldglass import parsed_queries, queries
 from tests.compare import differences, duck
 
 
@@ -21,4 +21,5 @@ def test_entry_runs(spark):
 
 
 def test_registry_of_queries():
+    assert parsed_queries.Scans is queries.Scans
     assert set(entry.oracle_sql()) <= set(entry.queries())
