@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows that a logical part, or a range of a shard, holds on average; parts at most, which bounds the matrix.
 ROWS, MOST_PARTS = 100_000, 1 << 16
 #: Rows up to which numpy draws, and deviations around the mode that an inversion looks at (beyond lies less than 1e-80).
@@ -108,5 +110,5 @@ def digest(df: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; a null text has no bytes and the CRC of none."""
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffled_shards(numbered(rows), shards, ["doc_id", "text_crc32", "size", "copy"])
+    out = shuffled_shards(written(numbered(rows)), shards, ["doc_id", "text_crc32", "size", "copy"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
