@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir, which must be set), so that lineage stays short."""
+def shared_table(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table (in folders of the columns `by`) in the folder that the cluster shares (spark.checkpoint.dir, which must be set), so that lineage stays short."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/fieldglass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

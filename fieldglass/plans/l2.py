@@ -105,35 +105,31 @@ def finding_blocked(t: Tables) -> DataFrame:
     return _finding(b, 1, F.concat_ws("\x01", "hostname", "interface"), F.col("hostname"), F.concat("interface", F.lit(" -- "), status), F.concat("interface", F.lit(" is "), status, F.lit(". Affects VLANs: "), listed_, F.lit(".")))
 
 
-def finding_default_priority(t: Tables) -> DataFrame:
-    v = vlans(t).withColumn("p", whole(F.col("root_priority"))).withColumn("k", net.vlan_order(F.col("vlan_id")))
-    v = v.where("p = 32768 or p = 32768 + k")
-    host = F.coalesce(F.nullif("owner", F.lit("")), F.nullif("root_mac", F.lit("")), F.lit("unknown"))
-    return _finding(v, 2, _by_vlan(), host, F.format_string("VLAN %s -- default STP priority", "vlan_id"), F.format_string("Root priority %d (32768+%d, untuned). Root election is arbitrary.", "p", "k"))
-
-
-def finding_mismatch(t: Tables) -> DataFrame:
-    v = vlans(t).where("n_roots > 1")
-    return _finding(v, 3, _by_vlan(), F.lit(""), F.format_string("VLAN %s -- STP root bridge mismatch", "vlan_id"), F.concat(F.lit("Multiple root bridges detected: "), "bridges", F.lit(".")))
-
-
-def finding_large_subnet(t: Tables) -> DataFrame:
+def large_subnets(t: Tables) -> DataFrame:
     """The first prefix below 20 of a VLAN, with all addresses of that prefix."""
-    a = svi_addresses(t).withColumn("p", whole(F.col("prefix"))).where("p < 20")
-    first = first_rows(a.select(*VLAN, "prefix", "p", "device_ord", "item_ord", "ip_ord"), VLAN, ["device_ord", "item_ord", "ip_ord"]).drop("device_ord", "item_ord", "ip_ord")
-    same = svi_addresses(t).join(first.select(*VLAN, "prefix"), [*VLAN, "prefix"])
-    every = listed(same, VLAN, ["device_ord", "item_ord", "ip_ord"], F.concat("hostname", F.lit(": "), "ip", F.lit("/"), "prefix"), ", ", "every")
-    v = first.join(every, VLAN).join(vlans(t).select(*VLAN, "best_name"), VLAN, "left")
-    name = F.when(present("best_name") != "", F.concat(F.lit(" ("), "best_name", F.lit(")"))).otherwise("")
-    return _finding(v, 4, _by_vlan(), F.lit(""), F.concat(F.lit("VLAN "), "vlan_id", name, F.lit(" -- /"), F.col("p").cast("string"), F.lit(" subnet")), F.concat(F.lit("Large subnet (/"), F.col("p").cast("string"), F.lit("): "), "every", F.lit(". Verify intent.")))
+    a = svi_addresses(t).withColumn("wide", whole(F.col("prefix"))).where("wide < 20")
+    first = first_rows(a.select(*VLAN, "prefix", "wide", "device_ord", "item_ord", "ip_ord"), VLAN, ["device_ord", "item_ord", "ip_ord"]).drop("device_ord", "item_ord", "ip_ord")
+    same = svi_addresses(t).join(first, [*VLAN, "prefix"])
+    item = F.struct("device_ord", "item_ord", "ip_ord", F.concat("hostname", F.lit(": "), "ip", F.lit("/"), "prefix").alias("x"))
+    return same.groupBy(*VLAN).agg(F.min("wide").alias("wide"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]), ", ").alias("every"))
 
 
-def finding_names(t: Tables) -> DataFrame:
-    v = vlans(t).where("groups > 1")
-    return _finding(v, 5, _by_vlan(), F.lit(""), F.format_string("VLAN %s -- name discrepancy", "vlan_id"), F.concat(F.lit("Different names: "), "varied", F.lit(".")))
+def finding_vlans(t: Tables) -> DataFrame:
+    """R2 to R5, all from one row a VLAN, which is computed once: default priority, roots that differ, a large subnet, names that differ."""
+    v = vlans(t).join(large_subnets(t), VLAN, "full").withColumn("p", whole(F.col("root_priority"))).withColumn("k", net.vlan_order(F.col("vlan_id")))
+    host = F.coalesce(F.nullif("owner", F.lit("")), F.nullif("root_mac", F.lit("")), F.lit("unknown"))
+    named = F.when(present("best_name") != "", F.concat(F.lit(" ("), "best_name", F.lit(")"))).otherwise("")
+    rules = [
+        (2, (F.col("p") == 32768) | (F.col("p") == F.col("k") + 32768), host, F.format_string("VLAN %s -- default STP priority", "vlan_id"), F.format_string("Root priority %d (32768+%d, untuned). Root election is arbitrary.", "p", "k")),
+        (3, F.col("n_roots") > 1, F.lit(""), F.format_string("VLAN %s -- STP root bridge mismatch", "vlan_id"), F.concat(F.lit("Multiple root bridges detected: "), "bridges", F.lit("."))),
+        (4, F.col("wide").isNotNull(), F.lit(""), F.concat(F.lit("VLAN "), "vlan_id", named, F.lit(" -- /"), F.col("wide").cast("string"), F.lit(" subnet")), F.concat(F.lit("Large subnet (/"), F.col("wide").cast("string"), F.lit("): "), "every", F.lit(". Verify intent."))),
+        (5, F.col("groups") > 1, F.lit(""), F.format_string("VLAN %s -- name discrepancy", "vlan_id"), F.concat(F.lit("Different names: "), "varied", F.lit("."))),
+    ]
+    found = F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), host_.alias("hostname"), title.alias("title"), description.alias("description"))) for rule, when, host_, title, description in rules])
+    rows = v.select("scan_id", _by_vlan().alias("seq"), F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
+    return rows.select("scan_id", "f.rule", "seq", "f.hostname", F.lit(None).cast("string").alias("severity"), "f.title", "f.description")
 
 
-RULES = [finding_blocked, finding_default_priority, finding_mismatch, finding_large_subnet, finding_names]
 # Words in a title that make a finding a warning.
 WARNINGS = ["blk", "bkn", "default stp", "subnet", "bpdu", "storm", "trunk", "topology"]
 
@@ -145,10 +141,7 @@ def severity(title):
 
 def findings(t: Tables) -> DataFrame:
     """All findings, their severity by words of their titles, in order of rule and place."""
-    out = None
-    for rule in RULES:
-        part = rule(t)
-        out = part if out is None else out.unionByName(part)
+    out = finding_blocked(t).unionByName(finding_vlans(t))
     return out.withColumn("severity", severity(F.col("title"))).withColumn("place", F.struct("rule", "seq"))
 
 
@@ -175,7 +168,7 @@ SEVERITIES = [("Critical Findings", "critical"), ("Warning Findings", "warning")
 
 def summary(t: Tables) -> DataFrame:
     d = t["devices"].groupBy("scan_id").agg(F.count("*").alias("devices"))
-    v = vlans(t).groupBy("scan_id").agg(F.count("*").alias("vlans"))
+    v = roots(t).select(*VLAN).unionByName(names(t).select(*VLAN)).distinct().groupBy("scan_id").agg(F.count("*").alias("vlans"))
     return metrics(d.join(v, "scan_id", "left").join(severities(findings(t)), "scan_id", "left"), [("Device Count", "devices"), ("VLAN Count", "vlans"), *SEVERITIES])
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_table
 
 KEYS = ["scan_id", "hostname", "device_ord"]
 #: Record lists of a collector: collector -> list -> {column: names that may hold it}. Arrays end with [].
@@ -103,15 +104,30 @@ def _scalar(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[")), F.array_join(F.from_json(text, "array<string>"), ", ")).otherwise(text)
 
 
-def tables(docs: DataFrame) -> Tables:
-    """All tables of parsed documents: scans, devices, raw_outputs, parsed (whether a collector has parsed keys), one for each record list, eox_cache."""
+def stored(docs: DataFrame) -> DataFrame:
+    """The outputs of collectors, written once in the shared folder by collector, so that each of some forty tables reads its own collector only, not all documents."""
+    return shared_table(outputs(docs), "collector")
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    return docs.where("doc is not null").select(F.col("doc.discovery_id").alias("scan_id"), F.posexplode(F.map_entries("doc.devices")).alias("device_ord", "e"))
+
+
+def outputs(docs: DataFrame) -> DataFrame:
+    """(keys, collector, p): raw and parsed output of each collector of each device."""
+    each = entries(docs).select("scan_id", F.col("e.key").alias("hostname"), "device_ord", F.explode("e.value.collector_data").alias("collector", "payload"))
+    return each.select(*KEYS, "collector", F.from_json("payload", "struct<raw:map<string,string>,parsed:map<string,string>>").alias("p"))
+
+
+def tables(docs: DataFrame, each: DataFrame | None = None) -> Tables:
+    """All tables of parsed documents: scans, devices, raw (a map of command to text), raw_outputs, parsed (whether a collector has parsed keys), one for each record list, eox_cache. `each` are the outputs of collectors, best as `stored` has them."""
     good = docs.where("doc is not null").withColumn("scan_id", F.col("doc.discovery_id"))
     out: Tables = {"scans": good.select("scan_id", "doc.seed_ip", "doc.timestamp", "doc.scan_summary", "doc.params")}
-    entries = good.select("scan_id", F.posexplode(F.map_entries("doc.devices")).alias("device_ord", "e"))
-    devices = entries.select("scan_id", F.col("e.key").alias("hostname"), "device_ord", *[F.col(f"e.value.{c}").alias(c) for c in ("mgmt_ip", "device_type", "device_category", "platform")], F.col("e.value.collector_data").alias("collectors"))
+    devices = entries(docs).select("scan_id", F.col("e.key").alias("hostname"), "device_ord", *[F.col(f"e.value.{c}").alias(c) for c in ("mgmt_ip", "device_type", "device_category", "platform")], F.col("e.value.collector_data").alias("collectors"))
     out["devices"] = devices.withColumn("platform", _scalar(F.col("platform"))).withColumn("collectors", F.coalesce(F.map_keys("collectors"), F.array().cast("array<string>")))
-    each = devices.select(*KEYS, F.explode("collectors").alias("collector", "payload")).select(*KEYS, "collector", F.from_json("payload", "struct<raw:map<string,string>,parsed:map<string,string>>").alias("p"))
+    each = outputs(docs) if each is None else each
     out["parsed"] = each.select(*KEYS, "collector", F.coalesce(F.size(F.map_keys("p.parsed")) > 0, F.lit(False)).alias("has"))
+    out["raw"] = each.select(*KEYS, "collector", F.col("p.raw").alias("raw"))
     out["raw_outputs"] = each.select(*KEYS, "collector", F.explode("p.raw").alias("command", "text"))
     for (collector, name), columns in RECORDS.items():
         held = each.where(F.col("collector") == collector).select(*KEYS, F.posexplode(F.from_json(F.col("p.parsed")[name], "array<map<string,string>>")).alias("item_ord", "r"))

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 
 from fieldglass.operators import neighbors as merging
-from fieldglass.plans import l2, registry
+from fieldglass.plans import l2, raw, registry
 from fieldglass.sources import scans, sinks
 from fieldglass.sources.platforms import platform_descriptions
 from fieldglass.streaming import progress
@@ -246,3 +246,59 @@ def test_progress_stream(spark, tmp_path):
     sent = []
     progress.to_messages(progress.event_stream(spark, str(source)), lambda df, i: sent.extend(r["message"] for r in df.collect()), str(tmp_path / "c2")).awaitTermination(120)
     assert len(sent) == 5 and sent[0].startswith("event: scan_started\ndata: {") and sent[0].endswith("\n\n")
+
+
+def raw_scan():
+    """R1 has raw output alone, R2 parsed lists beside it, N1 the commands of another system."""
+    only = lambda kind, **raw_: {"mgmt_ip": "10.0.0.1", "device_type": kind, "device_category": "router", "platform": "", "collector_data": {k: {"raw": v} for k, v in raw_.items()}}
+    r1 = only(
+        "cisco_ios", arp={"show ip arp": "Protocol  Address  Age (min)  Hardware Addr  Type  Interface\nInternet  10.0.0.7  5  aabb.cc00.0007  ARPA  Gi0/1\n"},
+        cdp_lldp={"show cdp neighbors detail": "Device ID: R2.lab\n  IP address: 10.0.0.2\nPlatform: C1,  Capabilities: Router\nInterface: Gi0/1,  Port ID (outgoing port): Gi0/9\n", "show lldp neighbors detail": "", "show lldp neighbors": "Chassis id: x\nSystem Name: never\n"},
+        l3_routing={"show ip ospf neighbor": "10.9.9.9  1  FULL/DR  00:00:35  10.0.0.2  Gi0/1\n", "show ip eigrp neighbors": "0  10.0.0.3  Gi0/2  12 00:01:02  5  100  0  9\n"},
+        routing_detail={"show ip route summary": "Route Source    Networks    Subnets\nstatic          3           1\n", "show ip bgp summary": "203.0.113.1  4  65001  1  1  1  0  0  never  Active\n", "show ip ospf": ' Routing Process "ospf 1" with ID 10.255.0.1\n    Area 0\n'},
+        vrf={"show ip vrf": "  Name   Default RD   Protocols  Interfaces\nMGMT   1:1   ipv4   Gi0/0\n", "show ip route vrf MGMT": "S  10.1.0.0/16 [1/0] via 10.0.0.2\n", "show ip arp vrf MGMT": "Internet  10.1.0.1  3  aabb.cc00.0001  ARPA  Gi0/0\n"},
+        edge_services={"show access-lists": "Extended IP access list OUT\n    10 permit ip any any (4 matches)\n", "show ip nat statistics": "Total active translations: 7\n"},
+        hsrp={"show standby brief": "Interface   Grp  Pri P State   Active   Standby   Virtual IP\nVl10        1    110 P Active  local    10.0.10.2 10.0.10.254\n"},
+        switchport={"show interfaces switchport": "Name: Gi0/1\nAdministrative Mode: trunk\nTrunking Native Mode VLAN: 1 (default)\nTrunking VLANs Enabled: ALL\n"},
+        config={"show running-config": "hostname R1\n"}, hollow={},
+    )
+    r2 = device(arp={"_raw": {"show ip arp": "Internet  10.0.0.8  5  aabb.cc00.0008  ARPA  Gi0/2\n"}, "entries": [{"ip": "10.0.0.9", "mac": "m", "interface": "Gi0/9", "age": "1"}]}, config={"_raw": {}, "config": ""})
+    n1 = only("cisco_nxos", vrf={"show vrf": "RED   3   Up   --\n"}, hsrp={"show hsrp brief": None}, config={"show running-config": ""})
+    return {"discovery_id": "scan-raw", "seed_ip": "10.0.0.1", "timestamp": "t", "params": {}, "devices": {"R1": r1, "R2": r2, "N1": n1}}
+
+
+@pytest.fixture(scope="module", params=["plain", "stored"])
+def from_raw(request, spark):
+    texts = spark.createDataFrame([("scan-raw.json", json.dumps(raw_scan())), ("scan-l2.json", json.dumps(l2_scan()))], "filename string, text string")
+    docs = scans.documents(texts)
+    return raw.filled(scans.tables(docs, scans.stored(docs) if request.param == "stored" else None))
+
+
+def listed(t, name, *columns, scan="scan-raw"):
+    return [tuple(r) for r in t[name].where(f"scan_id = '{scan}'").orderBy("hostname", *(["item_ord"] if "item_ord" in t[name].columns else [])).select("hostname", *columns).collect()]
+
+
+def test_lists_from_raw_output(from_raw):
+    t = from_raw
+    assert listed(t, "arp.entries", "ip", "interface", "age") == [("R1", "10.0.0.7", "Gi0/1", "5"), ("R2", "10.0.0.9", "Gi0/9", "1")]
+    assert listed(t, "cdp_lldp.neighbors", "remote_device", "remote_ip", "local_intf", "remote_intf", "protocols") == [("R1", "R2", "10.0.0.2", "Gi0/1", "Gi0/9", ["CDP"])]
+    assert listed(t, "l3_routing.neighbors", "remote_ip", "protocol", "state") == [("R1", "10.0.0.2", "OSPF", "FULL/DR"), ("R1", "10.0.0.3", "EIGRP", "UP")]
+    assert listed(t, "routing_detail.route_summary", "source", "count") == [("R1", "static", "3")]
+    assert listed(t, "routing_detail.bgp_summary", "neighbor", "asn", "state", "prefixes_received") == [("R1", "203.0.113.1", "65001", "Active", "0")]
+    assert listed(t, "routing_detail.ospf_processes", "process_id", "router_id", "areas") == [("R1", "1", "10.255.0.1", ["0"])]
+    assert listed(t, "vrf.vrfs", "name", "rd", "interfaces") == [("N1", "RED", "", []), ("R1", "MGMT", "1:1", ["Gi0/0"])]
+    assert listed(t, "vrf.vrf_routes", "vrf", "network", "next_hop") == [("R1", "MGMT", "10.1.0.0/16", "10.0.0.2")]
+    assert listed(t, "vrf.vrf_arp", "vrf", "ip_address") == [("R1", "MGMT", "10.1.0.1")]
+    assert listed(t, "edge_services.access_lists", "name", "entries") == [("R1", "OUT", [("permit", "ip", "any", "any", 4)])]
+    assert listed(t, "edge_services.nat_statistics", "active_translations", "hits") == [("R1", 7, 0)]
+    assert listed(t, "hsrp.entries", "interface", "group", "state", "virtual_ip") == [("R1", "Vlan10", "1", "Active", "10.0.10.254")]
+    assert listed(t, "switchport.switchports", "interface", "mode", "native_vlan", "allowed_vlans") == [("R1", "Gi0/1", "trunk", "1", "ALL")]
+    assert listed(t, "config.config", "config") == [("R1", "hostname R1\n")]
+    assert listed(t, "cdp_lldp.neighbors", "remote_device", scan="scan-l2") == [("LAB-CORE", "LAB-DIST"), ("LAB-DIST", "LAB-CORE")]
+    has = {(r["hostname"], r["collector"]): r["has"] for r in t["parsed"].where("scan_id = 'scan-raw'").collect()}
+    assert has["R1", "vrf"] and has["R2", "arp"] and not has["R1", "hollow"] and len(has) == 15
+
+
+def test_sheets_from_raw_output(from_raw):
+    assert sheet(from_raw, "internet_edge", "BGP Peers", "scan-raw")[0][0] == "R1"
+    assert [r[0] for r in sheet(from_raw, "l2_discovery", "VLAN Documentation", "scan-l2")] == ["10", "20", "30"]
