@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,24 @@ DEFAULT_TYPE, DESCRIPTION_SHARE = "cisco_ios", 0.5
 PATTERNS = "device_type string, type_ord int, kind string, pattern string, priority double"
 
 
+# The configuration where no file can be read.
+MINIMAL = {"device_types": {"cisco_ios": {"platforms": ["cisco", "catalyst"], "system_descriptions": ["IOS"], "priority": 50}}, "default_device_type": "cisco_ios"}
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The configuration of a YAML or JSON file, read through Spark from wherever the path points; the minimal one where it is missing, broken or no map."""
+    try:
+        from yaml import YAMLError
+        from yaml import safe_load as load
+    except ImportError:  # JSON needs no library
+        load, YAMLError = json.loads, ValueError
+    try:
+        config = load(spark.read.text(path, wholetext=True).first()["value"])
+    except (AnalysisException, YAMLError, ValueError, TypeError):
+        return MINIMAL
+    return config if isinstance(config, dict) else MINIMAL
+
+
 def pattern_table(spark: SparkSession, config: dict) -> DataFrame:
     """Patterns from a configuration {"device_types": {type: {platforms, system_descriptions, priority}}}."""
     rows = []
@@ -21,8 +42,8 @@ def pattern_table(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(rows, PATTERNS)
 
 
-def best_type(platform: Column, description: Column, patterns: list) -> Column:
-    """The type with the best score, the first of equals. The patterns, a configuration of a few hundred rows, become one expression that needs no join."""
+def best_type(platform: Column, description: Column, patterns: list, default: str = DEFAULT_TYPE) -> Column:
+    """The type with the best score, the first of equals; the default if no pattern is found. The patterns, a configuration of a few hundred rows, become one expression that needs no join."""
     by: dict[tuple[int, str], dict[str, list]] = {}
     for r in patterns:
         by.setdefault((r["type_ord"], r["device_type"]), {}).setdefault(r["kind"], []).append(r)
@@ -36,24 +57,24 @@ def best_type(platform: Column, description: Column, patterns: list) -> Column:
             score = score + F.when(held(low[kind], rows), rows[0]["priority"] * share).otherwise(0.0)
         scores.append(F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("name")))
     if not scores:
-        return F.lit(DEFAULT_TYPE)
+        return F.lit(default)
     best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["name"]).otherwise(DEFAULT_TYPE)
+    return F.when(best["score"] > 0, best["name"]).otherwise(default)
 
 
-def detected(neighbors: DataFrame, patterns: DataFrame) -> DataFrame:
+def detected(neighbors: DataFrame, patterns: DataFrame, default: str = DEFAULT_TYPE) -> DataFrame:
     """Neighbours with device_type, category and has_routing. Platforms decide, descriptions only without one; without any of both and without capabilities the type is null."""
     rows = patterns.collect()  # a configuration, not data
     caps = net.capabilities(F.col("remote_capabilities"))
     platform, description = F.coalesce("remote_platform", F.lit("")), F.coalesce("system_description", F.lit(""))
     anything = (F.size(caps) > 0) | (platform != "") | (description != "")
     kind = F.when(anything, net.category(caps, platform, description)).otherwise("unknown")
-    by_platform, by_description = best_type(platform, F.lit(""), rows), best_type(F.lit(""), description, rows)
-    device_type = F.when(platform != "", by_platform).when(description != "", by_description).when(kind != "unknown", DEFAULT_TYPE)
+    by_platform, by_description = best_type(platform, F.lit(""), rows, default), best_type(F.lit(""), description, rows, default)
+    device_type = F.when(platform != "", by_platform).when(description != "", by_description).when(kind != "unknown", default)
     return neighbors.withColumn("device_type", device_type).withColumn("category", kind).withColumn("has_routing", F.when(anything, net.has_routing(caps)).otherwise(False))
 
 
-def frontier(neighbors: DataFrame, patterns: DataFrame, filters: dict[str, bool]) -> DataFrame:
+def frontier(neighbors: DataFrame, patterns: DataFrame, filters: dict[str, bool], default: str = DEFAULT_TYPE) -> DataFrame:
     """Neighbours with a type that the filters let in, and whether each is crawled."""
-    seen = detected(neighbors, patterns).where(F.col("device_type").isNotNull() & net.included(F.col("category"), filters))
+    seen = detected(neighbors, patterns, default).where(F.col("device_type").isNotNull() & net.included(F.col("category"), filters))
     return seen.withColumn("crawl", (F.coalesce("remote_ip", F.lit("")) != "") & net.crawlable(F.col("remote_capabilities"), filters))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions import text as tx
+from .operators import identity
 from .operators import neighbors as merging
 from .operators.rows import fallback, upsert
 from .parsers import edge as p_edge
@@ -295,3 +296,41 @@ def _lifecycle(t: Scans) -> DataFrame:
 
 register("S9_lifecycle_records", _lifecycle, "SELECT 'P' || p_partkey AS pid, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '' END AS description, CASE WHEN p_partkey % 2 = 0 THEN '2030-01-01' ELSE '' END AS last_date_of_support, '' AS end_of_sale, p_brand AS migration_pid, '' AS migration_name FROM part")
 register("T2_messages", lambda t: messages(t.adapted("progress").select("scan_id", "seq", "event")).select("scan_id", "seq", F.split("message", "\n")[0].alias("head")), with_("progress") + "SELECT scan_id, seq, 'event: ' || event AS head FROM progress")
+
+# --- names by address, counts in order ---------------------------------------------------------------------------------
+
+
+def _shared(t: Scans) -> DataFrame:
+    """Devices of which several have one address."""
+    return t["devices"].select(*HOST, "device_ord", F.expr("concat('10.9.0.', cast(device_ord % 30 as string))").alias("mgmt_ip"))
+
+
+def _found(t: Scans) -> DataFrame:
+    """Names of two addresses in three: new ones, or that of the address's own first device."""
+    n = F.expr("device_ord % 30")
+    first = _shared(t).withColumn("n", n).where("n % 3 < 2").groupBy("scan_id", "mgmt_ip", "n").agg(F.min_by("hostname", "device_ord").alias("own"))
+    return first.select("scan_id", "mgmt_ip", F.expr("if(n % 3 = 0, concat('REAL-', cast(n as string)), own)").alias("hostname"), F.col("n").alias("ord"))
+
+
+SHARED = with_("devices", "l3_neighbors") + ", d AS (SELECT scan_id, hostname, device_ord, device_ord % 30 AS n, '10.9.0.' || (device_ord % 30) AS mgmt_ip FROM devices)"
+register(
+    "J19_names_by_address", lambda t: identity.named_by_address(t.adapted("l3_neighbors").select(*HOST, "item_ord", F.expr("if(item_ord % 7 = 0, '', concat('10.9.0.', cast(item_ord % 40 as string)))").alias("remote_ip")), _shared(t), "remote_ip"),
+    SHARED + f", f AS (SELECT scan_id, mgmt_ip, arg_min(hostname, device_ord) AS device_name FROM d GROUP BY ALL), x AS (SELECT {H}, item_ord, CASE WHEN item_ord % 7 = 0 THEN '' ELSE '10.9.0.' || (item_ord % 40) END AS remote_ip FROM l3_neighbors) SELECT x.*, device_name FROM x LEFT JOIN f ON f.scan_id = x.scan_id AND f.mgmt_ip = x.remote_ip",
+)
+register(
+    "G3_renamed_devices", lambda t: identity.renamed(_shared(t), _found(t)).select("*", F.col("place.part").alias("part"), F.col("place.at").alias("at_")),
+    # Of addresses with a new name the first device moves to the end; of those named after their own first device the second one replaces it.
+    SHARED + ", r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, n ORDER BY device_ord) AS k, first_value(hostname) OVER (PARTITION BY scan_id, n ORDER BY device_ord) AS h1, first_value(device_ord) OVER (PARTITION BY scan_id, n ORDER BY device_ord) AS o1, count(*) OVER (PARTITION BY scan_id, n) AS c FROM d)"
+    " SELECT scan_id, CASE WHEN n % 3 = 0 AND k = 1 THEN 'REAL-' || n WHEN n % 3 = 1 AND k = 2 THEN h1 ELSE hostname END AS hostname, device_ord, mgmt_ip, CAST(n % 3 = 0 AND k = 1 AS INTEGER) AS part, CASE WHEN n % 3 = 0 AND k = 1 THEN n WHEN n % 3 = 1 AND k = 2 THEN o1 ELSE device_ord END AS at_ FROM r WHERE NOT (n % 3 = 1 AND k = 1 AND c > 1)",
+)
+
+
+def _mixed_arp(t: Scans) -> dict[str, DataFrame]:
+    return {"arp.entries": t.adapted("arp").withColumn("interface", F.expr("case when item_ord % 5 = 0 then concat('Gi0/', cast(item_ord % 3 as string)) when item_ord % 7 = 0 then '' else concat('Vlan', cast(item_ord % 12 as string)) end"))}
+
+
+register(
+    "A22_arp_counts_in_order", lambda t: flat.arp_counts(_mixed_arp(t)).withColumn("number", F.row_number().over(Window.partitionBy("scan_id", "device").orderBy("place"))),
+    with_("arp") + f", x AS (SELECT {H}, CASE WHEN item_ord % 5 = 0 THEN 'Gi0/' || (item_ord % 3) WHEN item_ord % 7 = 0 THEN 'Unknown' ELSE 'Vlan' || (item_ord % 12) END AS interface FROM arp), g AS (SELECT {H}, interface, count(*) AS entry_count FROM x GROUP BY ALL)"
+    " SELECT scan_id, hostname AS device, interface, entry_count, CAST(row_number() OVER (PARTITION BY scan_id, hostname ORDER BY interface NOT LIKE 'Vlan%', TRY_CAST(substr(interface, 5) AS BIGINT), interface) AS INTEGER) AS number FROM g",
+)

@@ -27,6 +27,14 @@ def arp_detail(t: Tables) -> DataFrame:
     return t["arp.entries"].select("scan_id", F.col("hostname").alias("device"), *[present(c).alias(c) for c in ("interface", "ip", "mac", "age")], place("hostname", "item_ord"))
 
 
+def arp_counts(t: Tables) -> DataFrame:
+    """ARP entries by interface, VLAN interfaces first and by number, then the others by name."""
+    rows = t["arp.entries"].groupBy(*HOST, F.coalesce(F.nullif("interface", F.lit("")), F.lit("Unknown")).alias("interface")).agg(F.count("*").alias("entry_count"))
+    number = F.nullif(F.regexp_extract("interface", r"^[Vv]lan(\d+)$", 1), F.lit("")).try_cast("decimal(38,0)")
+    order = F.struct("hostname", number.isNull().alias("other"), number.alias("number"), "interface")
+    return rows.select("scan_id", F.col("hostname").alias("device"), "interface", "entry_count", order.alias("place"))
+
+
 def mac_table(t: Tables) -> DataFrame:
     return t["mac_table.entries"].select("scan_id", F.col("hostname").alias("device"), present("mac").alias("mac_address"), present("vlan").alias("vlan"), present("type").alias("type"), present("ports").alias("port"), place("hostname", "item_ord"))
 

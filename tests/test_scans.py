@@ -302,3 +302,17 @@ def test_lists_from_raw_output(from_raw):
 def test_sheets_from_raw_output(from_raw):
     assert sheet(from_raw, "internet_edge", "BGP Peers", "scan-raw")[0][0] == "R1"
     assert [r[0] for r in sheet(from_raw, "l2_discovery", "VLAN Documentation", "scan-l2")] == ["10", "20", "30"]
+
+
+def test_configuration_of_patterns(spark, tmp_path):
+    from fieldglass.operators import detection
+
+    (tmp_path / "own.yaml").write_text('{"device_types": {"x": {"platforms": ["abc"]}}, "default_device_type": "y"}')
+    (tmp_path / "broken.yaml").write_text("{a: [")
+    (tmp_path / "words.yaml").write_text("words")
+    own = detection.read_config(spark, str(tmp_path / "own.yaml"))
+    assert [tuple(r) for r in detection.pattern_table(spark, own).collect()] == [("x", 0, "platform", "abc", 10.0)]
+    for name in ("broken.yaml", "words.yaml", "missing.yaml"):
+        assert detection.read_config(spark, str(tmp_path / name)) is detection.MINIMAL
+    n = spark.createDataFrame([("ABC-1",), ("other",)], "remote_platform string").selectExpr("*", "'' AS remote_capabilities", "'' AS system_description")
+    assert [r["device_type"] for r in detection.detected(n, detection.pattern_table(spark, own), own["default_device_type"]).collect()] == ["x", "y"]
