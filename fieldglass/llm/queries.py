@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, langid, lm, minhash, mixing, pii, sharding, toxicity
+from . import ann, audit, bpe, conversations, fingerprints, langid, lm, minhash, mixing, pii, sharding, toxicity, wordbpe
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The rank file of the registered query; the operator takes any.
+#: The rank file of op1; the operators take any.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer file of op12.
+WORDS = "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +68,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_wordbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word BPE ids of every text, and the text decoded from them."""
+    return wordbpe.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all orders of five filters keep and remove, by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_bpe, op2_pii, op3_ann, op4_minhash, op5_langid, op6_sharding, op7_toxicity, op8_lm, op9_fingerprints, op10_mixing]
+    own = [op1_bpe, op2_pii, op3_ann, op4_minhash, op5_langid, op6_sharding, op7_toxicity, op8_lm, op9_fingerprints, op10_mixing, op11_conversations, op12_wordbpe, op13_audit]
     return {f.__name__: f for f in own}
 
 
@@ -111,5 +128,69 @@ SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, n.doc_id = min(o
 """
 
 
+#: CRC-32 bit by bit, damage, and for each conversation a walk over its rows, state by state of the grammar.
+REPAIRED = """
+WITH RECURSIVE b AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x FROM conversations
+), k AS (
+  SELECT id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))),
+    lambda c, y: list_reduce(list_prepend(xor(c, y), [CAST(0 AS BIGINT) for z in range(8)]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS kind
+  FROM (SELECT DISTINCT id FROM b)
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE r END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text
+  FROM b JOIN k USING (id), generate_series(1, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+f AS (
+  SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS kept, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, left(role, 1) AS i,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o
+), t AS (
+  SELECT *, kept = '' AS blank, kept <> '' AND again AS dup, kept <> '' AND NOT again AND NOT regexp_matches(kept, '[.!?]$') AS cut FROM f
+), arcs(s, i, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins(s, t, n, ops) AS (SELECT s, s, 0, '' FROM generate_series(0, 3) g(s) UNION ALL SELECT s, t, 1, 'I' FROM arcs WHERE i <> 's' UNION ALL SELECT x.s, y.t, 2, 'II' FROM arcs x JOIN arcs y ON y.s = x.t WHERE x.i <> 's' AND y.i <> 's'),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+w(conv_id, n, s, y) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), ins.t, {'cost': CAST(2 * ins.n AS BIGINT), 'audit': ops} FROM ids JOIN ins ON ins.s = 0
+  UNION ALL
+  SELECT w.conv_id, r.n, ins.t, min({'cost': w.y.cost + e.cost + 2 * ins.n, 'audit': w.y.audit || e.op || ins.ops})
+  FROM w JOIN t r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1, LATERAL (
+    SELECT w.s AS next, 'D' AS op, CAST(3 AS BIGINT) AS cost
+    UNION ALL SELECT arcs.t AS next, 'K', CAST(r.cut AS BIGINT) FROM arcs WHERE arcs.s = w.s AND arcs.i = r.i AND NOT r.blank AND NOT r.dup
+    UNION ALL SELECT arcs.t AS next, 'R', 2 + CAST(r.cut AS BIGINT) FROM arcs WHERE arcs.s = w.s AND arcs.i <> 's' AND NOT r.blank AND NOT r.dup
+  ) e JOIN ins ON ins.s = e.next GROUP BY ALL
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows FROM t GROUP BY conv_id
+), z AS (SELECT w.conv_id, min(y) AS y FROM w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.n = coalesce(g.rows, 0) AND w.s IN (0, 3) GROUP BY w.conv_id),
+p AS (
+  SELECT conv_id, p, y.audit[p] AS op, p - len(replace(y.audit[:p], 'I', '')) AS inserts, len(replace(y.audit, 'D', '')) % 2 AS odd, len(replace(y.audit[:p], 'D', '')) AS place FROM z, generate_series(1, len(y.audit)) q(p)
+), v AS (
+  SELECT p.conv_id, p, CASE WHEN op = 'K' THEN t.role WHEN (place + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE t.text END AS line
+  FROM p LEFT JOIN t ON op <> 'I' AND t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.n = p - inserts WHERE op <> 'D'
+), h AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS lines FROM v GROUP BY conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, z.y.cost AS cost, z.y.audit AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+#: Every order applied step by step to every document.
+AUDITED = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), f AS (
+  SELECT part, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic,
+    concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+      CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END) AS fails
+  FROM d
+), o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) x(c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[:step - 1] AS before FROM o, generate_series(1, 5) g(step) WHERE len(filter_order) = 5),
+x AS (SELECT part, filter_order, step, own, good, toxic, contains(fails, own) AS failing, fails = own AS only_own, len(translate(fails, before, '')) < len(fails) AS gone FROM f, s),
+r AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (NOT failing AND NOT gone) AS kept, count(*) FILTER (failing AND NOT gone) AS removed, count(*) FILTER (failing AND gone) AS redundant,
+    count(*) FILTER (only_own) AS unique_fails, count(*) FILTER (failing AND NOT gone AND good) AS good_lost, count(*) FILTER (failing AND NOT gone AND toxic) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ann": NEAREST, "op4_minhash": LINKED, "op10_mixing": MIXED}
+    return {"op3_ann": NEAREST, "op4_minhash": LINKED, "op10_mixing": MIXED, "op11_conversations": REPAIRED, "op13_audit": AUDITED}
