@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a batch holds at most, unless one text alone is longer.
 BATCH_BYTES = 1 << 18
@@ -36,6 +37,33 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unreserved(df: DataFrame, prefix: str, *outputs: str) -> DataFrame:
+    """df without columns that are named like outputs or begin with the prefix that work columns of an operator have."""
+    return df.drop(*[c for c in df.columns if c.lower() in outputs or c.lower().startswith(prefix)])
+
+
+def combined(batch: pa.RecordBatch, keys: list[str], copies: str) -> pa.RecordBatch:
+    """A batch with one row for each value of the key columns (64-bit numbers), and how many rows had it."""
+    columns = [batch.column(k).to_numpy() for k in keys]
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    begin = np.flatnonzero(new)
+    counts = np.diff(np.append(begin, len(order)))
+    out = batch if len(begin) == len(order) else batch.take(pa.array(order[begin]))
+    counts = counts if len(begin) < len(order) else np.ones(len(order), np.int64)
+    return pa.RecordBatch.from_arrays([*out.columns, pa.array(counts, pa.int64())], names=[*out.schema.names, copies])
+
+
+def repeated(df: DataFrame, copies: str, chunk: int = 1 << 16) -> DataFrame:
+    """Every row as often as its column `copies` says; the column goes."""
+    last = F.floor((F.col(copies) - 1) / chunk)
+    chunks = df.withColumn(copies, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda c: F.least(F.lit(chunk), F.col(copies) - c * chunk))))
+    return chunks.withColumn(copies, F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int")))).drop(copies)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,11 +7,12 @@ parts lower the likeness. The likeness of two fingerprints is the share of slots
 
 A text shorter than K is one k-mer; an empty text (or null) has a fingerprint of its own that is like no other text's.
 Texts of any length are hashed by one law; a task holds two texts at a time besides a batch, and some 50 bytes for each
-of their code points. Documents meet the next one by ranges of (doc_id, hash of the text, number of the row): rows go
-to ranges, the first document of a range also goes to the range before it, and each task reads its range in order, so
-texts are moved once. Range limits come from a sample, so a repeated id, null ids (they stand first) and repeated rows
-are spread over ranges like any others. Rows of equal id stand in order of the xxhash64 of their texts; rows equal in
-both are interchangeable. An empty table gives an empty result. Columns named like an output are dropped first.
+of their code points. Documents meet the next one by ranges of (doc_id, hashes of the text): rows go to ranges, the
+first document of a range also goes to the range before it, and each task reads its range in order, so texts are moved
+once. Range limits come from a sample, so a repeated id and null ids (they stand first) are spread over ranges like any
+others. Rows of equal id stand in order of the xxhash64 of their texts. Rows equal in both are followed by one like them,
+all but the last; they travel once a batch with their number, so that many of them burden no task. Keys depend on the
+rows alone, not on how they are read. An empty table gives an empty result. Columns named like an output are dropped first.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, mix64, text_batches
+from .common import combined, lean, mix64, repeated, text_batches, written
 
 K, SLOTS, TUPLE = 8, 64, 2
-#: Rows that a range holds on average, ranges at most (beyond, ranges grow; a task still reads them row by row), rows of the sample for each range, and k-mers hashed at a time.
-ROWS, MOST_RANGES, SAMPLE, CHUNK = 500, 20_000, 20, 1 << 12
+#: Different rows that a range holds on average while there are fewer than MANY_RANGES (beyond, their number grows with the fourth root of the rows; a task reads its range row by row), rows of the sample for each range, and k-mers hashed at a time.
+ROWS, MANY_RANGES, SAMPLE, CHUNK = 500, 20_000, 20, 1 << 12
 #: Bits of a k-mer's hash that tell k-mers apart.
 MARK_BITS = 40
 
@@ -116,76 +117,102 @@ def edited(points: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Rows with the key of their order: _k (doc_id; null stands first), _h (hash of the text) and _r (tells equal rows apart)."""
+    """Rows with the key of their order: _k (doc_id; null stands first), _h and _g (two hashes of the text). Rows with one key are equal, so the key is the same however often rows are read."""
     text = F.coalesce("text", F.lit(""))
-    return df.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(text).alias("_h"), F.xxhash64(F.monotonically_increasing_id()).alias("_r"))
+    return df.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"))
 
 
-KEY = ["_k", "_h", "_r"]
+KEY = ["_k", "_h", "_g"]
 
 
-def sortable(k: np.ndarray, h: np.ndarray, r: np.ndarray) -> np.ndarray:
+def sortable(k: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Keys as strings of 24 bytes in the same order."""
-    parts = np.stack([np.asarray(x, np.int64) for x in (k, h, r)], axis=1)
+    parts = np.stack([np.asarray(x, np.int64) for x in (k, h, g)], axis=1)
     return np.ascontiguousarray((parts.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")).view("S24").ravel()
 
 
 def range_starts(df: DataFrame, rows: int = ROWS) -> np.ndarray:
-    """The smallest key of each range of about `rows` rows, in order: a number of rows for each range comes to the driver."""
-    n = df.count()
-    parts = min(MOST_RANGES, -(-n // rows))
+    """The smallest key of each range of about `rows` different keys, in order: some SAMPLE keys a range come to the driver. Keys are written once, in a few bytes a row."""
+    keys = written(df.select(*KEY).distinct())
+    n = keys.count()
+    parts = min(-(-n // rows), int(MANY_RANGES * max(1.0, n / (rows * MANY_RANGES)) ** 0.25))
     if not parts:
         return np.empty(0, "S24")
     share = max(1, n // (parts * SAMPLE))
-    some = df.where(F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(share)) == 0).select(*KEY).toPandas()
-    keys = np.sort(sortable(*(some[c] for c in KEY)))
-    splits = np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if len(keys) else np.empty(0, "S24")
-    starts = df.groupBy(_part(splits)(*KEY).alias("part")).agg(F.min(F.struct(*KEY)).alias("s")).select("s.*").toPandas()
+    some = keys.where(F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(share)) == 0).toPandas()
+    sample = np.sort(sortable(*(some[c] for c in KEY)))
+    splits = np.unique(sample[np.arange(1, parts) * len(sample) // parts]) if len(sample) else np.empty(0, "S24")
+    starts = keys.groupBy(_part(splits)(*KEY).alias("part")).agg(F.min(F.struct(*KEY)).alias("s")).select("s.*").toPandas()
     return np.sort(sortable(*(starts[c] for c in KEY)))
 
 
 def _part(splits: np.ndarray):
     @F.pandas_udf("int")
-    def part(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, sortable(k, h, r), "right").astype(np.int32))
+    def part(k: pd.Series, h: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splits, sortable(k, h, g), "right").astype(np.int32))
 
     return part
 
 
-def _places(starts: np.ndarray) -> Column:
-    """2 * range of a row; also 2 * the range before it + 1 if the row begins its range, where the first follows the last."""
+def sent(docs: DataFrame, starts: np.ndarray) -> DataFrame:
+    """Rows with place: 2 * their range; and, for the first key of a range, also 2 * the range before it + 1 (the first follows the last). Equal rows of a batch go once, with their number."""
+    schema = T.StructType([*docs.schema, T.StructField("copies", T.LongType()), T.StructField("place", T.IntegerType())])
 
-    @F.pandas_udf("array<int>")
-    def places(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
-        key = sortable(k, h, r)
-        part = np.searchsorted(starts, key, "right") - 1
-        return pd.Series([[2 * p, 2 * ((p - 1) % len(starts)) + 1] if x else [2 * p] for p, x in zip(part.tolist(), (starts[part] == key).tolist())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            batch = combined(whole, KEY, "copies")
+            key = sortable(*(batch.column(c).to_numpy() for c in KEY))
+            part = np.searchsorted(starts, key, "right") - 1
+            begins = np.flatnonzero(starts[part] == key)
+            for rows, place in ((batch, 2 * part), (batch.take(pa.array(begins)), 2 * ((part[begins] - 1) % len(starts)) + 1)):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(place, pa.int32())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+class Pairs:
+    """Results of documents against what follows them, gathered for the next batch."""
 
-    return places(*KEY)
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, held: tuple, points: np.ndarray, print_: np.ndarray, copies: int) -> None:
+        doc, was, mark = held[:3]
+        new = edited(was, points)
+        other = fingerprint(new)
+        raw = new.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        marks = [x.astype(">u2").tobytes().hex() for x in (mark, other)]
+        self.rows.append((doc, len(was), hashlib.sha256(raw).hexdigest(), *marks, likeness(mark, other), likeness(mark, print_), copies))
+
+    def batch(self) -> pa.RecordBatch:
+        columns, self.rows = list(zip(*self.rows)) or [()] * 8, []
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[*NAMES, "copies"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their range: every document against its edited text and the next document."""
-    held, part = None, None  # id, points and fingerprint of the document that waits for the next one
+    """Rows in order of their range: every document against its edited text and the next document. All but the last of equal rows are followed by one like them."""
+    held, part = None, None  # id, points, fingerprint, key and number of the document that waits for the next one
+    out = Pairs()
     for batch, texts in text_batches(batches):
-        out = []
-        for place, doc, text in zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), texts):
+        keys = zip(*(batch.column(c).to_pylist() for c in KEY))
+        for place, doc, copies, key, text in zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("copies").to_pylist(), keys, texts):
             if held is None and place & 1:
                 continue
+            if held is not None and part == place >> 1 and held[3] == key and not place & 1:
+                held = (*held[:4], held[4] + copies)
+                continue
             points = points_of(text)
             print_ = fingerprint(points)
             if held is not None and part == place >> 1:
-                old, was, mark = held
-                new = edited(was, points)
-                other = fingerprint(new)
-                raw = new.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-                out.append((old, len(was), hashlib.sha256(raw).hexdigest(), mark.astype(">u2").tobytes().hex(), other.astype(">u2").tobytes().hex(), likeness(mark, other), likeness(mark, print_)))
-            held, part = (None if place & 1 else (doc, points, print_)), place >> 1
-        columns = list(zip(*out)) if out else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                if held[4] > 1:
+                    out.add(held, held[1], held[2], held[4] - 1)
+                out.add(held, points, print_, 1)
+            held, part = (None if place & 1 else (doc, points, print_, key, copies)), place >> 1
+        yield out.batch()
 
 
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -195,9 +222,8 @@ def digest(df: DataFrame) -> DataFrame:
     starts = range_starts(docs)
     if not len(starts):
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    placed = docs.withColumn("place", F.explode(_places(starts)))
-    placed = placed.withColumn("_range", F.shiftright("place", 1)).repartition("_range").sortWithinPartitions("place", *KEY)
-    return placed.select("place", "doc_id", "text").mapInArrow(lean(_compared), SCHEMA)
+    placed = sent(docs, starts).withColumn("_range", F.shiftright("place", 1)).repartition("_range").sortWithinPartitions("place", *KEY)
+    return repeated(placed.select("place", "doc_id", "copies", *KEY, "text").mapInArrow(lean(_compared), f"{SCHEMA}, copies bigint"), "copies")
 
 
 def fingerprints(df: DataFrame, column: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import categories, codepoints, lean, lower_table, mix64, text_batches
+from .common import categories, codepoints, lean, lower_table, mix64, text_batches, unreserved
 
 BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: Nats that a change of language costs, and the share of a language's letters that make a script its own.
@@ -223,7 +223,7 @@ def language_spans(df: DataFrame, model: Model, column: str = "text") -> DataFra
 
 def identified(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """Adds spans, lang_pred, the language with most letters, and score, its share of the letters."""
-    df = language_spans(df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score")]), model, column)
+    df = language_spans(unreserved(df, "__langid_", "lang_pred", "score"), model, column)
 
     def letters(language=None):
         own = F.col("spans") if language is None else F.filter("spans", lambda s: s["lang"] == language)
@@ -231,9 +231,9 @@ def identified(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
 
     shares = [F.struct(letters(x).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(model.languages)]
     top = F.when(F.size("spans") > 0, F.array_max(F.array(*shares))) if shares else F.lit(None).cast("struct<n:bigint,i:int,lang:string>")
-    df = df.withColumn("_top", top)
-    score = F.col("_top.n") / letters()
-    return df.withColumn("lang_pred", F.coalesce("_top.lang", F.lit(UNKNOWN))).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("_top")
+    df = df.withColumn("__langid_top", top)
+    score = F.col("__langid_top.n") / letters()
+    return df.withColumn("lang_pred", F.coalesce("__langid_top.lang", F.lit(UNKNOWN))).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("__langid_top")
 
 
 def fold(column: str = "doc_id", folds: int = 3):

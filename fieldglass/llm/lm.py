@@ -18,7 +18,9 @@ Texts travel to their blocks in compressed packs, n-grams as compressed differen
 
 Words are told apart by 64 bits of hash, longer n-grams by 40 bits within their bucket. A null text counts as empty, an
 empty text is its end alone. A null id is held out. Without training texts N and V are 0. Every row gets a row;
-repeated rows count each. An empty table gives an empty result.
+repeated rows count each, though equal ones travel once a batch with their number, so that many of them burden no block.
+An empty table gives an empty result. Of texts only tokens matter, ties don't exist. Columns named like an output, or
+with the prefix __lm_ of work columns, are dropped first; all others stay.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, mix64, run_hashes, written
+from .common import codepoints, combined, mix64, repeated, run_hashes, written
 
 #: Words of an n-gram at most, and the weight of the shorter context for n-grams of two and more words.
 ORDER, MU = 3, {2: 30.0, 3: 10.0}
@@ -42,6 +44,8 @@ BLOCK_BYTES, SPREAD, PIECE = 4_000_000, 8, 2_048
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 KEY_BITS = 40
+#: Two hashes of a whole row, by which equal rows are told.
+ROW = ["__lm_row", "__lm_row2"]
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,33 +116,47 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def packs(rows: DataFrame) -> DataFrame:
-    """Rows with _block as (_block, pack): the rows of a batch that go to one block, as one compressed Arrow stream."""
+    """Rows with __lm_block as (__lm_block, pack): the rows of a batch that go to one block, as one compressed Arrow stream. Rows of a batch that are equal go once, with their number in __lm_copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            block = batch.column("_block").to_numpy()
+        for whole in batches:
+            batch = combined(whole, ["__lm_block", *ROW], "__lm_copies")
+            block = batch.column("__lm_block").to_numpy()
             order = np.argsort(block, kind="stable")
             begin = np.flatnonzero(np.diff(block[order], prepend=-1))
-            sorted_ = batch.take(pa.array(order)).drop_columns(["_block"])
+            sorted_ = batch.take(pa.array(order)).drop_columns(["__lm_block"])
             data = []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, sorted_.schema, options=options) as out:
                     out.write_batch(sorted_.slice(a, b - a))
                 data.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(block[order[begin]], pa.int32()), pa.array(data, pa.binary())], names=["_block", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[begin]], pa.int32()), pa.array(data, pa.binary())], names=["__lm_block", "pack"])
 
-    return rows.mapInArrow(run, "_block int, pack binary")
+    return rows.mapInArrow(run, "__lm_block int, pack binary")
 
 
 def _opened(table: pa.Table) -> pa.Table:
-    """The rows of a block's packs."""
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("pack")])
+    """The rows of a block's packs, equal ones once; packs are opened one after the other."""
+    at: dict[tuple[int, int], int] = {}
+    kept, copies = [], []
+    for pack in table.column("pack"):
+        rows = pa.ipc.open_stream(pack.as_buffer()).read_all()
+        new = []
+        for i, (*key, n) in enumerate(zip(*(rows.column(c).to_pylist() for c in (*ROW, "__lm_copies")))):
+            place = at.setdefault(tuple(key), len(copies))
+            if place == len(copies):
+                copies.append(0)
+                new.append(i)
+            copies[place] += n
+        kept.append(rows.take(pa.array(new, pa.int64())) if len(new) < len(rows) else rows)
+    rows = pa.concat_tables(kept)
+    return rows.set_column(rows.schema.get_field_index("__lm_copies"), "__lm_copies", pa.array(copies, pa.int64()))
 
 
 def _texts(table: pa.Table) -> list[str]:
-    return [x or "" for x in table.column("_text").to_pylist()]
+    return [x or "" for x in table.column("__lm_text").to_pylist()]
 
 
 def totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
@@ -147,14 +165,14 @@ def totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         rows = _opened(table)
         tokens, count = tokens_of(_texts(rows))
-        train = np.repeat(np.array(rows.column("_train").to_pylist(), bool), count)
+        train = np.repeat(np.where(rows.column("__lm_train").to_numpy(), rows.column("__lm_copies").to_numpy(), 0), count)
         grams = [Ngrams(k, buckets, n) for n, k in enumerate(ngram_keys(tokens, count, order), 1)]
-        counts = [np.bincount(g.where[train], minlength=len(g.keys)) for g in grams]
+        counts = [np.bincount(g.where, train, len(g.keys)).astype(np.int64) for g in grams]
         parts = [g.parts(buckets) for g in grams]
         some = [b for b in range(buckets) if any(p[b + 1] > p[b] for p in parts)]
         keys = [[_packed(g.keys[p[b] : p[b + 1]]) for g, p in zip(grams, parts)] for b in some]
         own = [[_planes(c[p[b] : p[b + 1]]) for c, p in zip(counts, parts)] for b in some]
-        block = table.column("_block")[0].as_py()
+        block = table.column("__lm_block")[0].as_py()
         columns = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))]
         return pa.table(columns, names=["bucket", "block", "keys", "counts"])
 
@@ -176,7 +194,7 @@ def totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
         columns = [pa.array(blocks_, pa.int32()), table.column("bucket"), pa.array(sums, pa.list_(pa.binary())), once(tokens), once(kinds)]
         return pa.table(columns, names=["block", "bucket", "totals", "tokens", "kinds"])
 
-    asked = blocks.groupBy("_block").applyInArrow(ask, "bucket int, block int, keys array<binary>, counts array<binary>")
+    asked = blocks.groupBy("__lm_block").applyInArrow(ask, "bucket int, block int, keys array<binary>, counts array<binary>")
     return asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, totals array<binary>, tokens bigint, kinds bigint")
 
 
@@ -236,15 +254,16 @@ def scores(tokens: np.ndarray, count: np.ndarray, totals_: list[np.ndarray], all
 def scored(df: DataFrame, train: Column, column: str = "text", order: int = ORDER) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to every row; `column` is dropped. The rows for which `train` holds give the counts."""
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    kept = [c for c in df.columns if c.lower() not in new and c != column]
-    rows = df.select(*kept, F.col(column).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 8)).first()[0] or 0
+    kept = [c for c in df.columns if c.lower() not in new and c != column and not c.lower().startswith("__lm_")]
+    rows = df.select(*kept, F.col(column).alias("__lm_text"), F.coalesce(train, F.lit(False)).alias("__lm_train"))
+    rows = rows.withColumn(ROW[0], F.xxhash64(*kept, "__lm_text", "__lm_train")).withColumn(ROW[1], F.xxhash64("__lm_text", "__lm_train", *kept, F.lit(1)))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("__lm_text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     buckets = min(blocks, math.ceil(SPREAD * math.sqrt(blocks)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*kept, "_text"), F.lit(blocks)).cast("int"))
-    answers = written(totals(packs(rows.select("_block", "_text", "_train")), buckets, order))
+    rows = rows.withColumn("__lm_block", F.pmod(F.col(ROW[0]), F.lit(blocks)).cast("int"))
+    answers = written(totals(packs(rows.select("__lm_block", *ROW, "__lm_text", "__lm_train")), buckets, order))
     all_tokens, kinds = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
-    out = rows.select(*kept).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    out = rows.select(*kept).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("__lm_copies", "long")
 
     def run(_, packed: pa.Table, replies: pa.Table) -> pa.Table:
         texts = _opened(packed)
@@ -255,10 +274,11 @@ def scored(df: DataFrame, train: Column, column: str = "text", order: int = ORDE
             total = np.concatenate([_numbers(r[n]) for r in replies]).astype(np.int64)
             at.append(total[Ngrams(keys, buckets, n + 1).where])
         known, base, score = scores(tokens, count, at, all_tokens, kinds)
-        columns = [pa.array(count.astype(np.int64)), pa.array(known), pa.array(np.full(len(count), all_tokens)), pa.array(base), pa.array(score)]
-        return pa.table([texts.column(c) for c in kept] + columns, names=[*kept, *new])
+        columns = [pa.array(count.astype(np.int64)), pa.array(known), pa.array(np.full(len(count), all_tokens)), pa.array(base), pa.array(score), texts.column("__lm_copies")]
+        return pa.table([texts.column(c) for c in kept] + columns, names=[*kept, *new, "__lm_copies"])
 
-    return packs(rows.select("_block", "_text", *kept)).groupBy("_block").cogroup(answers.select("block", "bucket", "totals").groupBy("block")).applyInArrow(run, out)
+    scored_ = packs(rows.select("__lm_block", *ROW, "__lm_text", *kept)).groupBy("__lm_block").cogroup(answers.select("block", "bucket", "totals").groupBy("block")).applyInArrow(run, out)
+    return repeated(scored_, "__lm_copies")
 
 
 def digest(df: DataFrame) -> DataFrame:

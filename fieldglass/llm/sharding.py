@@ -13,7 +13,8 @@ follow the hypergeometric law exactly at every size.
 
 Rows are told apart by the key columns; rows equal in all of them are interchangeable, and `numbered` tells them apart
 where there may be many. Null keys hash like any value. Texts only give their length and CRC, so their size does not
-matter. An empty table gives an empty result. Existing columns named like an output are dropped first.
+matter. An empty table gives an empty result. Columns named like an output, or with the
+prefix __shard_ of work columns, are dropped first; all others stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unreserved, written
 
 #: Rows that a logical part, or a range of a shard, holds on average; parts at most, which bounds the matrix.
 ROWS, MOST_PARTS = 100_000, 1 << 16
@@ -72,38 +73,38 @@ def communication_matrix(parts: list[int], shards: int, seed: int) -> np.ndarray
 def shuffled_shards(df: DataFrame, shards: int, keys: list[str], seed: int = 7, rows: int = ROWS) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     spark = df.sparkSession
-    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
+    df = unreserved(df, "__shard_", "shard", "slot")
     total = df.count()
     parts = int(min(MOST_PARTS, max(64, -(-total // rows))))
     ranges = int(max(8, -(-total // (rows * shards))))
     key = lambda salt: F.xxhash64(F.lit(seed * 1000 + salt), *keys)
-    df = df.withColumn("_p", F.pmod(key(1), F.lit(parts)).cast("int"))
-    counts = {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a number for each part
+    df = df.withColumn("__shard_p", F.pmod(key(1), F.lit(parts)).cast("int"))
+    counts = {r["__shard_p"]: r["n"] for r in df.groupBy("__shard_p").agg(F.count("*").alias("n")).collect()}  # a number for each part
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
-    stops = spark.createDataFrame([(p, row) for p, row in enumerate(np.cumsum(matrix, axis=1).tolist())], "_p int, _stops array<bigint>")
-    local = Window.partitionBy("_p").orderBy(key(2), *keys)
-    sent = df.withColumn("_r", F.row_number().over(local) - 1).join(F.broadcast(stops), "_p")
-    sent = sent.withColumn("shard", F.size(F.filter("_stops", lambda c: c <= F.col("_r"))).cast("int")).drop("_r", "_stops", "_p")
+    stops = spark.createDataFrame([(p, row) for p, row in enumerate(np.cumsum(matrix, axis=1).tolist())], "__shard_p int, __shard_stops array<bigint>")
+    local = Window.partitionBy("__shard_p").orderBy(key(2), *keys)
+    sent = df.withColumn("__shard_r", F.row_number().over(local) - 1).join(F.broadcast(stops), "__shard_p")
+    sent = sent.withColumn("shard", F.size(F.filter("__shard_stops", lambda c: c <= F.col("__shard_r"))).cast("int")).drop("__shard_r", "__shard_stops", "__shard_p")
     return with_slots(sent, ranges, key(3), keys)
 
 
 def with_slots(sent: DataFrame, ranges: int, key: Column, keys: list[str]) -> DataFrame:
     """Adds slot: the place of a row in its shard by `key`, from counts by shard and range of the key."""
-    sent = sent.withColumn("_k", key).withColumn("_b", F.floor((F.shiftrightunsigned("_k", 33).cast("double") / (1 << 31)) * ranges).cast("int"))
-    counts = sent.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_k", *keys))
-    return sent.withColumn("_i", place).join(offsets, ["shard", "_b"]).withColumn("slot", (F.col("_o") + F.col("_i") - 1).cast("long")).drop("_k", "_b", "_o", "_i")
+    sent = sent.withColumn("__shard_k", key).withColumn("__shard_b", F.floor((F.shiftrightunsigned("__shard_k", 33).cast("double") / (1 << 31)) * ranges).cast("int"))
+    counts = sent.groupBy("shard", "__shard_b").agg(F.count("*").alias("__shard_n"))
+    before = Window.partitionBy("shard").orderBy("__shard_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "__shard_b", F.coalesce(F.sum("__shard_n").over(before), F.lit(0)).alias("__shard_o"))
+    place = F.row_number().over(Window.partitionBy("shard", "__shard_b").orderBy("__shard_k", *keys))
+    return sent.withColumn("__shard_i", place).join(offsets, ["shard", "__shard_b"]).withColumn("slot", (F.col("__shard_o") + F.col("__shard_i") - 1).cast("long")).drop("__shard_k", "__shard_b", "__shard_o", "__shard_i")
 
 
 def numbered(rows: DataFrame, name: str = "copy") -> DataFrame:
     """Equal rows with numbers from 0. They are counted before they are shuffled, and many equal ones are numbered by many tasks."""
     keys = rows.columns
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    chunks = counts.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).repartition(*keys, "_c")
-    last = F.least(F.lit(COPIES), F.col("_n") - F.col("_c") * COPIES) - 1
-    return chunks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(*keys, (F.col("_c") * COPIES + F.col("_i")).alias(name))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__shard_n"))
+    chunks = counts.withColumn("__shard_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__shard_n") - 1) / COPIES)))).repartition(*keys, "__shard_c")
+    last = F.least(F.lit(COPIES), F.col("__shard_n") - F.col("__shard_c") * COPIES) - 1
+    return chunks.withColumn("__shard_i", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(*keys, (F.col("__shard_c") * COPIES + F.col("__shard_i")).alias(name))
 
 
 def digest(df: DataFrame, shards: int = 24) -> DataFrame:
