@@ -45,8 +45,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (those that it doesn't take go), sorted by training position. A null text has no words and comes once, as any without words; a null source is one of its own; repeated rows count each; an empty table gives an empty one."""
-    sized = docs.select(*COLUMNS).withColumn("size", mixing.words(F.col("text")))
-    keys = ["doc_id", "size"]
+    sized = docs.select(*COLUMNS).withColumn("size", mixing.words(F.col("text"))).withColumn("row", F.md5("text"))
+    keys = ["doc_id", "size", "row"]  # of rows equal in id and text the stage before keeps one
     return mixing.training_order(mixing.schedule(sized, keys), keys).select(*COLUMNS)
 
 
