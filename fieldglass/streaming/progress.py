@@ -6,7 +6,7 @@ event by seq tells how.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +47,10 @@ def running(state: DataFrame) -> DataFrame:
     return state.where("status = 'running'").select("scan_id")
 
 
-def messages(events: DataFrame) -> DataFrame:
-    """Events as messages of an event stream over HTTP: a line with the kind, a line with the data, a blank line."""
-    body = F.to_json(F.struct(*[c for c in events.columns if c not in ("scan_id", "seq")]))
-    return events.select("scan_id", "seq", F.concat(F.lit("event: "), F.coalesce("event", F.lit("message")), F.lit("\ndata: "), body, F.lit("\n\n")).alias("message"))
+def messages(events: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
+    """Events as messages of an event stream over HTTP: a line with the kind, a line with the data, a blank line. Columns in `beside` are not part of the data but stay."""
+    body = F.to_json(F.struct(*[c for c in events.columns if c not in ("scan_id", "seq", *beside)]))
+    return events.select("scan_id", "seq", *beside, F.concat(F.lit("event: "), F.coalesce("event", F.lit("message")), F.lit("\ndata: "), body, F.lit("\n\n")).alias("message"))
 
 
 def to_messages(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
