@@ -35,3 +35,29 @@ def overlapping(interfaces: DataFrame, scope: list[str]) -> DataFrame:
     inner_first = F.col("i_hostname") < F.col("o_hostname")
     pick = lambda tag, c: F.when(inner_first, F.col(f"{'i' if tag == 'a' else 'o'}_{c}")).otherwise(F.col(f"{'o' if tag == 'a' else 'i'}_{c}")).alias(f"{tag}_{c}")
     return pairs.select(*scope, *[pick(t, c) for t in "ab" for c in rest])
+
+
+def forest(networks: DataFrame, scope: list[str]) -> DataFrame:
+    """Networks as a forest, from (scope, lo, prefix, n), n being how many are counted at a network.
+
+    One row a network: n, the network right above it (null at the top), depth, and how many are counted in all networks
+    above it (outer) and below it (inner). A network has 32 networks above it at most, so what is joined grows with the
+    networks, however many of them lie in one; counts are summed before they are shuffled."""
+    one = networks.where("lo is not null").groupBy(*scope, "lo", "prefix").agg(F.sum("n").alias("n"))
+    nested = nested_networks(one, scope)
+    above = one.select(*scope, F.col("lo").alias("outer_lo"), F.col("prefix").alias("outer_prefix"), F.col("n").alias("_above"))
+    up = nested.join(above, [*scope, "outer_lo", "outer_prefix"]).groupBy(*scope, "lo", "prefix")
+    up = up.agg(F.max_by("outer_lo", "outer_prefix").alias("parent_lo"), F.max("outer_prefix").alias("parent_prefix"), F.count("*").alias("depth"), F.sum("_above").alias("outer"))
+    down = nested.join(one.select(*scope, "lo", "prefix", F.col("n").alias("_below")), [*scope, "lo", "prefix"])
+    down = down.groupBy(*scope, F.col("outer_lo").alias("lo"), F.col("outer_prefix").alias("prefix")).agg(F.sum("_below").alias("inner"))
+    out = one.join(up, [*scope, "lo", "prefix"], "left").join(down, [*scope, "lo", "prefix"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(*scope, "lo", "prefix", "n", "parent_lo", "parent_prefix", count("depth"), count("outer"), count("inner"))
+
+
+def overlap_counts(interfaces: DataFrame, scope: list[str], host: str = "hostname") -> DataFrame:
+    """Interfaces (scope, host, lo, prefix, ...) with `overlaps`, how many of other hosts they overlap without being equal: those above and below in the scope's forest, less those in the host's own. No pair is made."""
+    counted = interfaces.withColumn("n", F.lit(1).cast("long"))
+    sums = lambda by, name: forest(counted, by).select(*by, "lo", "prefix", (F.col("outer") + F.col("inner")).alias(name))
+    out = interfaces.join(sums(scope, "_all"), [*scope, "lo", "prefix"], "left").join(sums([*scope, host], "_own"), [*scope, host, "lo", "prefix"], "left")
+    return out.withColumn("overlaps", F.coalesce(F.col("_all") - F.col("_own"), F.lit(0))).select(*interfaces.columns, "overlaps")
