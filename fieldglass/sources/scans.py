@@ -83,6 +83,13 @@ def summaries(docs: DataFrame) -> DataFrame:
     )
 
 
+def present_fields(docs: DataFrame) -> DataFrame:
+    """(filename, ok and what listings and summaries show) of every document, parsed or not."""
+    d = lambda c: F.coalesce(F.col(f"doc.{c}"), F.lit("")).alias(c)
+    count = F.coalesce(F.size(F.map_keys("doc.devices")), F.lit(0)).cast("bigint").alias("device_count")
+    return docs.select("filename", F.col("doc").isNotNull().alias("ok"), d("discovery_id"), d("seed_ip"), d("timestamp"), count, "doc.scan_summary.elapsed", "doc.scan_summary.failed_count")
+
+
 def discovery_id(at: Column, seed: Column) -> Column:
     return F.concat_ws("_", F.date_format(at, "yyyy-MM-dd_HH-mm-ss"), seed)
 
