@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingles link it at 0.8: the one of the smallest id, or one without an id where none has one. Of rows equal in id and text one stays."""
+    """One document of each group whose 5-word shingles link it at 0.8: the one of the smallest id, or one without an id where none has one. Of rows equal in id and text one stays, that of the least source, then lang (nulls first). Texts without words, or null, are no one's duplicates; an empty table gives an empty one. Columns beyond those of documents are left out."""
     docs = docs.select(*COLUMNS).withColumn("row", F.md5("text"))
     ids = minhash.one_of_each(docs, size=5, percent=80).toDF("_id", "_row")
     held = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left_semi")
