@@ -7,7 +7,8 @@ batch is a lookup in a two-dimensional table: blocks are scanned side by side, t
 composed. The slices between boundaries go through a cache of merged pairs.
 
 Null text counts as empty; an empty text has no tokens. Texts of any length are encoded whole: a long one goes through
-in pieces, cut where a slice begins whatever stands before; a very long slice is merged with a heap. Rows keep their other columns. Columns named like an output replace nothing: they are dropped first.
+in pieces, cut where a slice begins whatever stands before; a very long slice is merged with a heap. A row's result depends on
+its text alone: repeated rows give repeated rows, of equal merges the leftmost comes first, an empty table gives an empty one. Rows keep their other columns. Columns named like an output replace nothing: they are dropped first.
 """
 
 from __future__ import annotations
