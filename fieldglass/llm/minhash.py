@@ -39,6 +39,8 @@ from .common import CACHES, Recent, lean, mix64, text_batches, written
 BANDS, ROWS, BITS = 40, 5, 2
 #: Rounds with one representative a bucket before what is left is read in tiles, and rows and hashes of a side of a tile on average.
 ROUNDS, CHUNK, CHUNK_HASHES = 2, 2_000, 1_000_000
+#: Pairs of a tile whose signatures and bands are compared at a time: some 12 MB.
+PAIRS = 1 << 14
 TILE = ["key", "lc", "rc"]
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
@@ -235,13 +237,14 @@ def _passing(t: pa.Table, bounds: list[int], percent: int) -> Iterator[tuple[int
             a = left[k : k + 128]
             ok = (label[a][:, None] != label[right][None, :]) & (100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :]))
             i, j = np.nonzero(ok)
-            x = bits[a[i]] ^ bits[right[j]]
-            far = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
-            keep = far <= most
-            x, y = a[i[keep]], right[j[keep]]
-            mine = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[begin]
-            if mine.any():
-                yield begin, x[mine], y[mine]
+            for s in range(0, len(i), PAIRS):
+                x, y = a[i[s : s + PAIRS]], right[j[s : s + PAIRS]]
+                unequal = bits[x] ^ bits[y]
+                keep = np.bitwise_count((unequal | (unequal >> np.uint64(1))) & odd).sum(axis=1) <= most
+                x, y = x[keep], y[keep]
+                mine = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[begin]
+                if mine.any():
+                    yield begin, x[mine], y[mine]
 
 
 def likely_rows(rows: DataFrame, percent: int) -> DataFrame:
