@@ -54,7 +54,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Ids of every document, and whether they decode to its bytes. A null text counts as empty, which has no ids; repeated rows give repeated rows; an empty table gives an empty one."""
     path = public_tokenizers.path(RANKS)
     rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_sha"), "text")
-    back = bpe.decode(bpe.encode(rows, path), path, keep_ids=True)
+    back = bpe.encode_decode(rows, path)
     return back.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("decodes"))
 
 

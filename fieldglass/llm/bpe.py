@@ -281,6 +281,14 @@ def _free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
+def encode_part(texts: list[str], path: str) -> tuple[list[bytes], list[bytes]]:
+    """Ids and ends of a part of a batch; a long text comes alone."""
+    if len(texts) == 1 and len(texts[0]) > 2 * PIECE:
+        ids, stops = ([x] for x in encode_whole(texts[0], path))
+        return ids, stops
+    return encode_texts(texts, path)
+
+
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     """Adds n_tokens, token_ids (packed little-endian uint32) and token_ends (packed int32 byte ends) to every row; `column` is dropped."""
     df = _free(df, "n_tokens", "token_ids", "token_ends")
@@ -289,10 +297,7 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, column):
-            if len(texts) == 1 and len(texts[0]) > 2 * PIECE:
-                ids, stops = ([x] for x in encode_whole(texts[0], path))
-            else:
-                ids, stops = encode_texts(texts, path)
+            ids, stops = encode_part(texts, path)
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(stops, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, "n_tokens", "token_ids", "token_ends"])
 
@@ -314,7 +319,22 @@ def decode(df: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     return df.mapInArrow(lean(run), schema)
 
 
+def encode_decode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """`encode`, then `decode` of its ids, part by part in one worker a task: adds n_tokens, token_ids and decoded; `column` is dropped."""
+    df = _free(df, "n_tokens", "token_ids", "decoded")
+    kept = [c for c in df.columns if c != column]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, column):
+            ids, stops = encode_part(texts, path)
+            new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decode_ids(ids, stops, path), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, "n_tokens", "token_ids", "decoded"])
+
+    return df.select(*kept, column).mapInArrow(lean(run), schema)
+
+
 def roundtrip(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the bytes decoded from them, for every row."""
-    coded = encode(df.select("doc_id", "text"), path).withColumn("ids_sha256", F.sha2("token_ids", 256))
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_decode(df.select("doc_id", "text"), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -63,3 +63,11 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert len(bpe.cuts(texts[0])) > 10
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.roundtrip(df, PATH).collect()) == [(i, *want(coder, t)) for i, t in enumerate(texts)]
+
+
+def test_one_worker_a_task_encodes_and_decodes(odd, capsys):
+    """Two Python steps in a row are two workers a task, each with the tables of ranks and its caches."""
+    bpe.roundtrip(odd, PATH).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    both = {r["doc_id"]: (r["n_tokens"], r["token_ids"], r["decoded"]) for r in bpe.decode(bpe.encode(odd, PATH), PATH, keep_ids=True).collect()}
+    assert {r["doc_id"]: (r["n_tokens"], r["token_ids"], r["decoded"]) for r in bpe.encode_decode(odd, PATH).collect()} == both
