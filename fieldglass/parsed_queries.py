@@ -9,6 +9,7 @@ from . import adapters as A
 from .functions import text as tx
 from .operators import identity
 from .operators import neighbors as merging
+from .operators.graph import shared_table
 from .operators.rows import fallback, upsert
 from .parsers import edge as p_edge
 from .parsers import management as p_management
@@ -257,13 +258,13 @@ register(
 
 
 def _documents(t: Scans) -> DataFrame:
-    """Scan documents as JSON, a few of them broken."""
+    """Scan documents as JSON in parts of one device, a few of them broken."""
     entries = t.adapted("arp").groupBy(*HOST).agg(F.array_sort(F.collect_list(F.struct("item_ord", F.struct(F.col("ip").alias("address"), F.col("mac").alias("hardware"), "interface", "age").alias("r")))).alias("e"))
-    d = t["devices"].join(entries, HOST).select(*HOST, "device_ord", F.struct("mgmt_ip", "device_type", F.struct(F.struct(F.struct(F.transform("e", lambda x: x["r"]).alias("entries")).alias("parsed")).alias("arp")).alias("collector_data")).alias("v"))
-    one = d.groupBy("scan_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("device_ord", "hostname", "v"))), lambda x: F.struct(x["hostname"], x["v"]))).alias("devices"))
-    text = F.to_json(F.struct(F.col("scan_id").alias("discovery_id"), F.lit("10.9.1.0").alias("seed_ip"), F.concat(F.lit("2026-01-0"), F.substring("scan_id", 2, 1)).alias("timestamp"), "devices"))
-    good = one.select(F.concat("scan_id", F.lit(".json")).alias("filename"), text.alias("text"))
-    return scans.documents(good.unionByName(good.select(F.concat(F.lit("bad-"), "filename").alias("filename"), F.concat(F.lit("{"), "text").alias("text"))))
+    d = t["devices"].join(entries, HOST).select(*HOST, F.col("device_ord").cast("bigint").alias("place"), F.struct("mgmt_ip", "device_type", F.struct(F.struct(F.struct(F.transform("e", lambda x: x["r"]).alias("entries")).alias("parsed")).alias("arp")).alias("collector_data")).alias("v"))
+    text = F.to_json(F.struct(F.col("scan_id").alias("discovery_id"), F.lit("10.9.1.0").alias("seed_ip"), F.concat(F.lit("2026-01-0"), F.substring("scan_id", 2, 1)).alias("timestamp"), F.create_map("hostname", "v").alias("devices")))
+    good = d.select(F.concat("scan_id", F.lit(".json")).alias("filename"), "place", text.alias("text"))
+    every = good.unionByName(good.select(F.concat(F.lit("bad-"), "filename").alias("filename"), "place", F.concat(F.lit("{"), "text").alias("text")))
+    return shared_table(scans.documents(every).drop("text"))  # parsed once
 
 
 WITH_ARP = with_("devices", "arp") + ", d AS (SELECT * FROM devices SEMI JOIN arp USING (scan_id, hostname)) "

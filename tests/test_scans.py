@@ -316,3 +316,35 @@ def test_configuration_of_patterns(spark, tmp_path):
         assert detection.read_config(spark, str(tmp_path / name)) is detection.MINIMAL
     n = spark.createDataFrame([("ABC-1",), ("other",)], "remote_platform string").selectExpr("*", "'' AS remote_capabilities", "'' AS system_description")
     assert [r["device_type"] for r in detection.detected(n, detection.pattern_table(spark, own), own["default_device_type"]).collect()] == ["x", "y"]
+
+
+def test_documents_in_parts_are_as_whole_ones(spark):
+    """Parts of one device each, in any order; a document with one broken part is left out."""
+    from fieldglass.sources import scans
+
+    def device(i):
+        return {"mgmt_ip": f"10.0.0.{i}", "collector_data": {"arp": {"parsed": {"entries": [{"address": f"10.1.{i}.{k}", "mac": "m"} for k in range(i)]}}}}
+
+    head = {"discovery_id": "a", "seed_ip": "10.0.0.1", "timestamp": "t", "scan_summary": {"elapsed": 1.5}, "eox_cache": {"hw:x": {"fetched_at": "2026-01-01", "record": {"ldos": "y"}}}}
+    names = [f"h{9 - i}" for i in range(5)]
+    whole = [(f"{f}.json", json.dumps(head | {"discovery_id": f, "devices": {n: device(i) for i, n in enumerate(names)}})) for f in "ab"]
+    parts = [(f"{f}.json", i, json.dumps((head if i == 0 else {}) | {"discovery_id": f, "devices": {n: device(i)}})) for f in "abc" for i, n in enumerate(names)]
+    parts = [(f, i, "{" + x if f == "c.json" and i == 3 else x) for f, i, x in parts]
+    one = scans.documents(spark.createDataFrame(whole, "filename string, text string"))
+    many = scans.documents(spark.createDataFrame(parts[::-1], "filename string, place bigint, text string").repartition(4))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert scans.listing(many).collect() == scans.listing(one).collect() and same(scans.summaries(many), scans.summaries(one))
+    assert [(r["filename"], r["ok"]) for r in scans.present_fields(many).orderBy("filename").collect()] == [("a.json", True), ("b.json", True), ("c.json", False)]
+    got, want = scans.tables(many), scans.tables(one)
+    assert got["arp.entries"].count() == 20
+    for name in ("scans", "devices", "arp.entries", "eox_cache", "parsed"):
+        assert same(got[name], want[name])
+
+
+def test_no_row_of_the_queries_holds_a_scan(spark, sf_dir):
+    from fieldglass.parsed_queries import _documents
+    from fieldglass.queries import Scans
+
+    docs = _documents(Scans(spark, sf_dir))
+    most = docs.selectExpr("max(size(map_keys(doc.devices)))").first()[0]
+    assert most == 1 and docs.where("doc is not null").count() > 100
