@@ -47,3 +47,11 @@ def test_blocks_across_rows_are_those_of_one_text(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], LINES)
     assert carried(df, ["scope"], ["n"], F.col("line")).collect() == [] and numbered(df, ["scope"], ["n"]).collect() == []
+
+
+def test_details_are_numbered_in_ranges(spark, sf_dir, capsys):
+    from fieldglass.queries import QUERIES
+
+    QUERIES["O1_order_of_details"](spark, sf_dir).explain("simple")
+    windows = [line for line in capsys.readouterr().out.splitlines() if "Window [" in line and "row_number" in line]
+    assert windows and all("__part" in line for line in windows)
