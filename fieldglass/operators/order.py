@@ -7,6 +7,8 @@ starts with. A scope may hold any share of the rows. Rows must differ in scope a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,19 @@ from .graph import shared_table
 
 #: Rows that a range holds on average.
 ROWS = 100_000
+#: Beyond so many ranges their number grows with the square root of the rows, and with it what the driver gets of each: its sampled limits and results. Longer ranges are sorted with spills.
+RANGES = 100
 PART = "__part"
 
 
+def ranges(n: int, rows: int) -> int:
+    """Into how many ranges n rows are dealt."""
+    wanted = max(1, -(-n // rows))
+    return wanted if wanted <= RANGES else math.ceil(math.sqrt(RANGES * wanted))
+
+
 def in_ranges(df: DataFrame, scope: list[str], order: list[str], rows: int) -> DataFrame:
-    parts = max(1, -(-df.count() // rows))
+    parts = ranges(df.count(), rows)
     return shared_table(df.repartitionByRange(parts, *scope, *order).withColumn(PART, F.spark_partition_id()))
 
 

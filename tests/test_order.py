@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.operators import order
 from fieldglass.operators.order import carried, numbered
 from fieldglass.parsers.base import by_block, by_line
 
@@ -55,3 +56,8 @@ def test_details_are_numbered_in_ranges(spark, sf_dir, capsys):
     QUERIES["O1_order_of_details"](spark, sf_dir).explain("simple")
     windows = [line for line in capsys.readouterr().out.splitlines() if "Window [" in line and "row_number" in line]
     assert windows and all("__part" in line for line in windows)
+
+
+def test_ranges_grow_slower_than_rows():
+    assert [order.ranges(n, 5_000) for n in (0, 1, 5_000, 5_001, 500_000)] == [1, 1, 1, 2, 100]
+    assert order.ranges(36_000_000, 5_000) < 1_000 and order.ranges(6 * 36_000_000, 5_000) < 2.5 * order.ranges(36_000_000, 5_000)
