@@ -17,22 +17,19 @@ def access_lists(df: DataFrame) -> DataFrame:
     b = by_block(df, r"(?:Extended|Standard)\s+IP\s+access\s+list\s+\S")
     head = r"^(Extended|Standard)\s+IP\s+access\s+list\s+(\S+)"
     kind = F.regexp_extract("block", head, 1)
-    lines = F.transform(F.slice(F.split("block", r"\R"), 2, 2_000_000), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.slice(F.split("block", r"\R"), 2, 2_000_000), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
     extended = r"^(\d+)\s+(permit|deny)\s+(\S+)\s+(.*?)(?:\s+\((\d+)\s+match(?:es)?\))?$"
     standard = r"^(\d+)\s+(permit|deny)\s+(.*?)(?:\s+\((\d+)\s+match(?:es)?\))?$"
 
-    def hits(line, pattern, group):
-        return F.coalesce(F.nullif(F.regexp_extract(line, pattern, group), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
-
-    def rule(line):
-        rest = F.regexp_replace(F.trim(F.regexp_extract(line, extended, 4)), r"\s+", " ")
-        source = F.regexp_extract(rest, SOURCE, 1)
-        return F.struct(F.regexp_extract(line, extended, 2).alias("action"), F.regexp_extract(line, extended, 3).alias("protocol"), F.when(source == "", rest).otherwise(source).alias("source"), F.regexp_extract(rest, SOURCE, 2).alias("destination"), hits(line, extended, 5).alias("hit_count"))
-
-    def simple(line):
-        return F.struct(F.regexp_extract(line, standard, 2).alias("action"), F.lit("ip").alias("protocol"), F.trim(F.regexp_extract(line, standard, 3)).alias("source"), F.lit("").alias("destination"), hits(line, standard, 4).alias("hit_count"))
-
-    entries = F.when(kind == "Extended", F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(extended))), rule)).otherwise(F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(standard))), simple))
+    # Each pattern is matched once a line: its groups are set on lines of their own, as no line holds an end of line.
+    groups = lambda x, pattern, order: F.split(F.regexp_replace(x, pattern, "\n".join(f"${g}" for g in order)), "\n")
+    matched = lambda pattern, order: F.filter(F.transform(lines, lambda x: groups(x, pattern, order)), lambda p: F.size(p) == len(order))
+    hits = lambda p: F.coalesce(F.nullif(p, F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
+    # A rest that names no source is one part, all of which is the source.
+    split = F.transform(matched(extended, (5, 2, 3, 4)), lambda p: F.struct(p[0].alias("h"), p[1].alias("a"), p[2].alias("p"), groups(F.regexp_replace(F.trim(p[3]), r"\s+", " "), SOURCE, (1, 2)).alias("r")))
+    rules = F.transform(split, lambda x: F.struct(x["a"].alias("action"), x["p"].alias("protocol"), x["r"][0].alias("source"), F.coalesce(F.get(x["r"], F.lit(1)), F.lit("")).alias("destination"), hits(x["h"]).alias("hit_count")))
+    simple = F.transform(matched(standard, (4, 2, 3)), lambda p: F.struct(p[1].alias("action"), F.lit("ip").alias("protocol"), F.trim(p[2]).alias("source"), F.lit("").alias("destination"), hits(p[0]).alias("hit_count")))
+    entries = F.when(kind == "Extended", rules).otherwise(simple)
     return b.select(*keys_of(df), "item_ord", F.regexp_extract("block", head, 2).alias("name"), kind.alias("type"), entries.alias("entries"))
 
 

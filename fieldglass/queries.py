@@ -379,7 +379,8 @@ def _acl_text(t: Scans) -> DataFrame:
     # The rules of an order lie on several devices; here each order is a device.
     rules = texts(t.adapted("rules").withColumn("hostname", F.col("name")).withColumn("item_ord", F.col("n")), line)
     out = p_edge.access_lists(rules.withColumn("text", F.concat(F.lit("Extended IP access list "), "hostname", F.lit("\n"), "text")))
-    return out.select("scan_id", "name", F.explode("entries").alias("e")).select("scan_id", "name", "e.*")
+    # The outer form, as the plain one also filters by the size of the entries, for which they would be parsed twice.
+    return out.select("scan_id", "name", F.explode_outer("entries").alias("e")).where("e is not null").select("scan_id", "name", "e.*")
 
 
 register("P10_access_list_text", _acl_text, with_("rules") + "SELECT scan_id, name, action, protocol, source, destination, hits AS hit_count FROM rules")
