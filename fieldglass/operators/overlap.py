@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import network as net
+from .graph import shared_table
 
 
 def nested_networks(networks: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, lo, prefix) -> inner and outer networks, the outer holding the inner and not equal to it."""
     one = networks.select(*scope, "lo", "prefix").where("lo is not null").distinct()
     outer = one.select(*scope, F.col("lo").alias("outer_lo"), F.col("prefix").alias("outer_prefix"))
-    lengths = one.groupBy(*scope).agg(F.collect_set("prefix").alias("_lengths"))  # 33 numbers at most
-    cut = one.join(lengths, scope).withColumn("outer_prefix", F.explode(F.filter("_lengths", lambda p: p < F.col("prefix")))).drop("_lengths")
+    lengths = one.agg(F.collect_set("prefix").alias("_lengths"))  # one row of 33 numbers at most, so that no scope comes to one task
+    cut = one.crossJoin(F.broadcast(lengths)).withColumn("outer_prefix", F.explode(F.filter("_lengths", lambda p: p < F.col("prefix")))).drop("_lengths")
     cut = cut.withColumn("outer_lo", F.col("lo") - F.pmod(F.col("lo"), net.span(F.col("outer_prefix"))))
     return cut.join(outer, [*scope, "outer_lo", "outer_prefix"])
 
@@ -56,7 +57,7 @@ def forest(networks: DataFrame, scope: list[str]) -> DataFrame:
     One row a network: n, the network right above it (null at the top), depth, and how many are counted in all networks
     above it (outer) and below it (inner). A network has 32 networks above it at most, so what is joined grows with the
     networks, however many of them lie in one; counts are summed before they are shuffled."""
-    one = networks.where("lo is not null").groupBy(*scope, "lo", "prefix").agg(F.sum("n").alias("n"))
+    one = shared_table(networks.where("lo is not null").groupBy(*scope, "lo", "prefix").agg(F.sum("n").alias("n")))  # read several times
     nested = nested_networks(one, scope)
     above = one.select(*scope, F.col("lo").alias("outer_lo"), F.col("prefix").alias("outer_prefix"), F.col("n").alias("_above"))
     up = nested.join(above, [*scope, "outer_lo", "outer_prefix"]).groupBy(*scope, "lo", "prefix")
@@ -70,6 +71,7 @@ def forest(networks: DataFrame, scope: list[str]) -> DataFrame:
 
 def overlap_counts(interfaces: DataFrame, scope: list[str], host: str = "hostname") -> DataFrame:
     """Interfaces (scope, host, lo, prefix, ...) with `overlaps`, how many of other hosts they overlap without being equal: those above and below in the scope's forest, less those in the host's own. No pair is made."""
+    interfaces = shared_table(interfaces)  # read three times
     counted = interfaces.withColumn("n", F.lit(1).cast("long"))
     sums = lambda by, name: forest(counted, by).select(*by, "lo", "prefix", (F.col("outer") + F.col("inner")).alias(name))
     out = interfaces.join(sums(scope, "_all"), [*scope, "lo", "prefix"], "left").join(sums([*scope, host], "_own"), [*scope, host, "lo", "prefix"], "left")
