@@ -148,7 +148,7 @@ def finding_overlap(t: Tables) -> DataFrame:
     """Unequal networks of two devices that overlap, once for each pair of devices and addresses."""
     a = addresses(t).select("scan_id", "hostname", "cidr", "lo", "prefix", "item_ord", "ip_ord", "interface")
     # The first interface of each address of a device stands for the others before any pair is made.
-    one = overlapping(first_rows(a, ["scan_id", "hostname", "cidr", "lo", "prefix"], ["item_ord", "ip_ord"]), ["scan_id"])
+    one = overlapping(shared_table(first_rows(a, ["scan_id", "hostname", "cidr", "lo", "prefix"], ["item_ord", "ip_ord"])), ["scan_id"])
     seq = F.concat_ws("\x01", "a_hostname", *[F.lpad(F.col(c).cast("string"), 18, "0") for c in ("a_item_ord", "a_ip_ord")], "b_hostname", *[F.lpad(F.col(c).cast("string"), 18, "0") for c in ("b_item_ord", "b_ip_ord")])
     text = F.concat("a_hostname", F.lit(" "), "a_interface", F.lit(" ("), "a_cidr", F.lit(") overlaps with "), "b_hostname", F.lit(" "), "b_interface", F.lit(" ("), "b_cidr", F.lit(")"))
     return _finding(one, 12, seq, F.col("a_hostname"), F.lit("Overlapping IP subnet"), text, F.lit("Critical"))
