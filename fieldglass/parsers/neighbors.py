@@ -14,6 +14,8 @@ L3_FIELDS = ["remote_ip", "remote_device", "local_intf", "protocol", "state"]
 FLAGS = ["*", "+", "#", "CP", "PS", "RO", "D"]
 ARP_HEADERS = ["Protocol", "MAC", "Destination", "Address", "IP", "Total", "ARP", "Flags"]
 NOT_DESCRIPTION = ["Time remaining", "System Capabilities", "Enabled Capabilities", "Management", "IP:", "IPv4", "IPv6", "Auto Negotiation", "Physical media", "Vlan ID", "Local Port id"]
+#: What is trimmed from fields.
+BLANKS = " \t"
 
 
 def _before_dot(c: Column) -> Column:
@@ -41,19 +43,26 @@ def cdp(df: DataFrame) -> DataFrame:
 def lldp(df: DataFrame) -> DataFrame:
     """show lldp neighbors detail: blocks that begin with Chassis id. A description goes on over lines that start nothing else."""
     b = by_block(df, r"[ \t]*Chassis id:")
+    # One pass takes the lines of all fields; each field is looked up among them.
+    names = ["Chassis id", "Port id", "Local Port id", "System Name", "System Capabilities", "System Description"]
+    b = b.withColumn("_f", F.regexp_extract_all("block", F.lit(rf"(?m)^[ \t]*(?:{'|'.join(names)}):.*"), F.lit(0)))
+    b = b.withColumn("_f", F.transform("_f", lambda x: F.btrim(x, F.lit(BLANKS))))
     block = F.col("block")
-    after = F.regexp_extract(block, r"(?ms)^[ \t]*System Description:[^\n]*\n?(.*)", 1)
+    field = lambda name: F.btrim(F.substring(F.try_element_at(F.filter("_f", lambda x: x.startswith(f"{name}:")), F.lit(-1)), len(name) + 2, 1 << 30), F.lit(BLANKS))
+    b = b.withColumn("_after", F.regexp_extract(block, r"(?ms)^[ \t]*System Description:[^\n]*\n?(.*)", 1))
+    after = F.col("_after")
     stops = "|".join([*NOT_DESCRIPTION, "Chassis id:", "System Name:", "Port id:", "System Description:"])
-    described = F.filter(F.transform(F.split(after, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~F.regexp_like(x, F.lit(f"^(?:{stops})")))
-    has_description = F.regexp_like(block, F.lit(r"(?m)^[ \t]*System Description:"))
-    field = lambda name: last_match(block, rf"(?m)^[ \t]*{name}:[ \t]*([^\r\n]*?)[ \t]*$")
+    # Lines of a description without the blanks at their ends; each find takes a line, those that start something else with an empty group.
+    after = F.when(F.contains(after, F.lit("\x0b")) | F.contains(after, F.lit("\f")), F.translate(after, "\x0b\f", "\n\n")).otherwise(after)
+    described = F.array_remove(F.regexp_extract_all(after, F.lit(rf"[ \t]*+(?:(?:{stops}).*+|(.*(?<=\S)))"), F.lit(1)), "")
+    has_description = F.exists("_f", lambda x: x.startswith("System Description:"))
     # Addresses count between the line that opens their section and one that starts something else.
     section = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*Management Address(?:es)?:[^\n]*\n((?:[ \t]*(?:(?:IP|Other)[^\n]*)?(?:\n|\z))*)"), F.lit(1))
     address = last_match(F.array_join(section, "\n"), r"(?m)^[ \t]*IP:[ \t]*(\S[^\r\n]*?)[ \t]*$")
     return b.select(
         *keys_of(df), "item_ord",
         _before_dot(field("System Name")).alias("remote_device"), address.alias("remote_ip"), field("Chassis id").alias("remote_platform"), field("System Capabilities").alias("remote_capabilities"),
-        field("Local Port id").alias("local_intf"), last_match(block, r"(?m)^[ \t]*Port id:[ \t]*([^\r\n]*?)[ \t]*$").alias("remote_intf"), F.when(has_description, F.array_join(described, " ")).alias("system_description"),
+        field("Local Port id").alias("local_intf"), field("Port id").alias("remote_intf"), F.when(has_description, F.array_join(described, " ")).alias("system_description"),
     )
 
 
