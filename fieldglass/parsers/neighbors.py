@@ -24,19 +24,20 @@ def _before_dot(c: Column) -> Column:
 
 def cdp(df: DataFrame) -> DataFrame:
     """show cdp neighbors detail: blocks that begin with Device ID."""
-    b = by_block(df, r"[ \t]*Device ID:")
-    block = F.col("block")
+    # One pass takes the lines of all fields; the patterns of each field then read no others.
+    b = by_block(df, r"[ \t]*Device ID:").withColumn("_f", F.regexp_extract_all("block", F.lit(r"(?m)^(?:[ \t]*(?:Platform|Interface):[^\r\n]*|[^\n]*(?:IPv4 Address:|IP address:)[^\r\n]*)"), F.lit(0)))
+    of = lambda name: F.array_join(F.filter("_f", lambda x: F.contains(x, F.lit(name))), "\n")
+    b = b.select("*", of("Platform:").alias("_p"), of("Interface:").alias("_i"))
     # Of several addresses the last that is one counts; texts in parentheses are none.
-    address = last_match(block, r"(?m)^[^\n]*(?:IPv4 Address:|IP address:)[ \t]*([^\s(][^\r\n]*?)[ \t]*$")
-    platform = last_match(block, r"(?m)^[ \t]*Platform:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)")
+    address = last_match(of("ddress:"), r"(?m)^[^\n]*(?:IPv4 Address:|IP address:)[ \t]*([^\s(][^\r\n]*?)[ \t]*$")
     return b.select(
         *keys_of(df), "item_ord",
-        _before_dot(F.trim(first_match(block, r"Device ID:[ \t]*([^\r\n]*)"))).alias("remote_device"),
+        _before_dot(F.trim(first_match(F.substring_index("block", "\n", 1), r"Device ID:[ \t]*([^\r\n]*)"))).alias("remote_device"),
         address.alias("remote_ip"),
-        platform.alias("remote_platform"),
-        last_match(block, r"(?m)^[ \t]*Platform:[^\r\n]*Capabilities:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)").alias("remote_capabilities"),
-        last_match(block, r"(?m)^[ \t]*Interface:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)").alias("local_intf"),
-        last_match(block, r"(?m)^[ \t]*Interface:[^,\r\n]*,[^,\r\n]*Port ID[^,\r\n]*:[ \t]*([^,:\r\n]*?)[ \t]*(?:,|$)").alias("remote_intf"),
+        last_match(F.col("_p"), r"(?m)^[ \t]*Platform:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)").alias("remote_platform"),
+        last_match(F.col("_p"), r"(?m)^[ \t]*Platform:[^\r\n]*Capabilities:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)").alias("remote_capabilities"),
+        last_match(F.col("_i"), r"(?m)^[ \t]*Interface:[ \t]*([^,\r\n]*?)[ \t]*(?:,|$)").alias("local_intf"),
+        last_match(F.col("_i"), r"(?m)^[ \t]*Interface:[^,\r\n]*,[^,\r\n]*Port ID[^,\r\n]*:[ \t]*([^,:\r\n]*?)[ \t]*(?:,|$)").alias("remote_intf"),
     )
 
 

@@ -33,3 +33,11 @@ def test_lldp_takes_fields_by_one_pattern(spark):
     r = df.collect()[0]
     assert (r["remote_device"], r["remote_platform"], r["remote_intf"], r["remote_capabilities"], r["system_description"]) == ("a", "aa", "", "B", "two")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 4
+
+
+def test_cdp_reads_lines_of_fields_only(spark):
+    text = "Device ID: a.b\n x IP address: 10.0.0.1\nIPv4 Address: (none)\nPlatform: p, Capabilities: R\nInterface: Gi0/1, Port ID (out): Te1\r\nPlatform: q\n"
+    df = neighbors.cdp(texts(spark, text))
+    r = df.collect()[0]
+    assert (r["remote_device"], r["remote_ip"], r["remote_platform"], r["remote_capabilities"], r["local_intf"], r["remote_intf"]) == ("a", "10.0.0.1", "q", "R", "Gi0/1", "Te1")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(block") == 1
