@@ -3,6 +3,7 @@
 import pytest
 
 from fieldglass.parsers import neighbors
+from fieldglass.plans import l2
 
 
 @pytest.fixture
@@ -41,3 +42,11 @@ def test_cdp_reads_lines_of_fields_only(spark):
     r = df.collect()[0]
     assert (r["remote_device"], r["remote_ip"], r["remote_platform"], r["remote_capabilities"], r["local_intf"], r["remote_intf"]) == ("a", "10.0.0.1", "q", "R", "Gi0/1", "Te1")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(block") == 1
+
+
+def test_roots_and_names_are_read_once(spark, counted):
+    roots, seen_roots = counted([("s", "h1", 1, 1, "VLAN0010", "aa", "32768", "0"), ("s", "h2", 2, 2, "10", "bb", "4096", "4")], "scan_id string, hostname string, device_ord int, item_ord int, vlan_id string, root_address string, root_priority string, root_cost string")
+    names, seen_names = counted([("s", "h1", 1, 1, "10", "users"), ("s", "h2", 2, 2, "10", "lab")], "scan_id string, hostname string, device_ord int, item_ord int, vlan_id string, name string")
+    rows = l2.vlans({"stp_vlan.spanning_tree_root": roots, "stp_vlan.vlans": names}).collect()
+    assert [(r["vlan_id"], r["root_mac"], r["n_roots"], r["owner"], r["switches"], r["groups"]) for r in rows] == [("10", "aa", 2, "h1", ["h1", "h2"], 2)]
+    assert (seen_roots.value, seen_names.value) == (2, 2)
