@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import shared_table
 from .rows import last_values
 
 FIELDS = ["remote_device", "remote_ip", "remote_platform", "remote_capabilities", "local_intf", "remote_intf", "system_description"]
@@ -49,16 +50,18 @@ def merged_l2(cdp: DataFrame, lldp: DataFrame) -> DataFrame:
 
 
 def merged(cdp: DataFrame, lldp: DataFrame, l3: DataFrame | None = None) -> DataFrame:
-    """All neighbours of a host. Routing neighbours whose address is known add their protocol; the others become records by address (or name)."""
+    """All neighbours of a host. Routing neighbours whose address is known add their protocol; the others become records by address (or name).
+    Both sides are read twice with routing neighbours, so they are made once."""
     l2 = merged_l2(cdp, lldp)
     if l3 is None:
         return l2
+    l2 = shared_table(l2)
     rows = _keyed(l3).withColumn("_key", F.coalesce(F.nullif("remote_ip", F.lit("")), F.nullif("remote_device", F.lit("")))).where("_key is not null")
     o = F.struct("item_ord", "protocol")
     adding = rows.groupBy(*HOST, "_key").agg(
         *[F.min_by(c, o).alias(c) for c in FIELDS], F.transform(F.array_sort(F.collect_set(F.struct("item_ord", "protocol"))), lambda x: x["protocol"]).alias("_more"), F.min("item_ord").alias("_at")
     )
-    adding = adding.withColumn("_more", F.array_distinct("_more"))
+    adding = shared_table(adding.withColumn("_more", F.array_distinct("_more")))
     # An address belongs to the last L2 record that has it.
     owner = l2.where("remote_ip <> ''").groupBy(*HOST, "remote_ip").agg(F.max("place").alias("place"))
     known = owner.join(adding.select(*HOST, F.col("_key").alias("remote_ip"), "_more"), [*HOST, "remote_ip"])

@@ -2,6 +2,7 @@
 
 import pytest
 
+from fieldglass.operators import neighbors as merging
 from fieldglass.parsers import neighbors
 from fieldglass.plans import l2
 
@@ -50,3 +51,13 @@ def test_roots_and_names_are_read_once(spark, counted):
     rows = l2.vlans({"stp_vlan.spanning_tree_root": roots, "stp_vlan.vlans": names}).collect()
     assert [(r["vlan_id"], r["root_mac"], r["n_roots"], r["owner"], r["switches"], r["groups"]) for r in rows] == [("10", "aa", 2, "h1", ["h1", "h2"], 2)]
     assert (seen_roots.value, seen_names.value) == (2, 2)
+
+
+def test_neighbors_are_merged_from_rows_read_once(spark, counted):
+    schema = "scan_id string, hostname string, item_ord int, remote_device string, remote_ip string, protocol string"
+    cdp, seen_cdp = counted([("s", "h", 1, "a", "10.0.0.1", None)], schema)
+    lldp, seen_lldp = counted([("s", "h", 2, "b", "10.0.0.2", None)], schema)
+    l3, seen_l3 = counted([("s", "h", 3, None, "10.0.0.2", "OSPF"), ("s", "h", 4, None, "10.0.0.3", "BGP")], schema)
+    rows = merging.merged(cdp.drop("protocol"), lldp.drop("protocol"), l3).orderBy("place").collect()
+    assert [(r["remote_device"], r["remote_ip"], r["protocols"]) for r in rows] == [("a", "10.0.0.1", ["CDP"]), ("b", "10.0.0.2", ["LLDP", "OSPF"]), (None, "10.0.0.3", ["BGP"])]
+    assert (seen_cdp.value, seen_lldp.value, seen_l3.value) == (1, 1, 2)
