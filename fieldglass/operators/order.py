@@ -28,6 +28,8 @@ def ranges(n: int, rows: int) -> int:
 
 
 def in_ranges(df: DataFrame, scope: list[str], order: list[str], rows: int) -> DataFrame:
+    # The rows are made once; their count, the sample of limits and the ranges read them.
+    df = shared_table(df)
     parts = ranges(df.count(), rows)
     return shared_table(df.repartitionByRange(parts, *scope, *order).withColumn(PART, F.spark_partition_id()))
 

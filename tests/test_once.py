@@ -3,6 +3,7 @@
 import pytest
 
 from fieldglass.operators import neighbors as merging
+from fieldglass.operators.order import numbered
 from fieldglass.parsers import neighbors
 from fieldglass.plans import l2
 
@@ -61,3 +62,10 @@ def test_neighbors_are_merged_from_rows_read_once(spark, counted):
     rows = merging.merged(cdp.drop("protocol"), lldp.drop("protocol"), l3).orderBy("place").collect()
     assert [(r["remote_device"], r["remote_ip"], r["protocols"]) for r in rows] == [("a", "10.0.0.1", ["CDP"]), ("b", "10.0.0.2", ["LLDP", "OSPF"]), (None, "10.0.0.3", ["BGP"])]
     assert (seen_cdp.value, seen_lldp.value, seen_l3.value) == (1, 1, 2)
+
+
+def test_rows_to_number_are_made_once(spark, counted):
+    df, seen = counted([("s", i) for i in range(50)], "scope string, o int")
+    rows = numbered(df, ["scope"], ["o"], rows=10).collect()
+    assert sorted((r["o"], r["at"]) for r in rows) == [(i, i) for i in range(50)]
+    assert seen.value == 50
