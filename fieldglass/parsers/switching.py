@@ -21,7 +21,9 @@ def stp_detail(df: DataFrame) -> DataFrame:
     port = r"[^\n]*Port\s+\d+\s+\((.+?)\)\s+of\s+VLAN\d+\s+is\s+(\S+)\s+(\S+)"
     before = F.regexp_extract("block", rf"(?s)^(.*?)(?:\n{port}|\z)", 1)
     changes = F.coalesce(last_match(before, r"Number of topology changes\s+(\d+)").cast("bigint"), F.lit(0).cast("bigint"))
-    ports = vlans.select(*keys_of(df), "_vlan_ord", F.regexp_extract("block", f"^{head}", 1).cast("bigint").alias("vlan"), changes.alias("topology_changes"), F.posexplode(F.filter(F.split("block", rf"(?m)(?=^{port})"), lambda b: F.regexp_like(b, F.lit(f"^{port}")))).alias("_port_ord", "block"))
+    # Taken by a fixed pattern, which is compiled once, where a split compiles it for each block.
+    pieces = F.regexp_extract_all("block", F.lit(rf"(?m)^(?={port})(?s:.+?)(?:(?=^{port})|\z)"), F.lit(0))
+    ports = vlans.select(*keys_of(df), "_vlan_ord", F.regexp_extract("block", f"^{head}", 1).cast("bigint").alias("vlan"), changes.alias("topology_changes"), F.posexplode(F.filter(pieces, lambda b: F.regexp_like(b, F.lit(f"^{port}")))).alias("_port_ord", "block"))
     part = lambda g: F.regexp_extract("block", f"^{port}", g)
     cost = F.coalesce(last_match(F.col("block"), r"Port path cost\s+(\d+)").cast("bigint"), F.lit(0).cast("bigint"))
     return ports.select(*keys_of(df), (F.col("_vlan_ord") * 100_000 + F.col("_port_ord")).alias("item_ord"), "vlan", F.trim(F.substring_index(part(1), ",", 1)).alias("interface"), part(2).alias("role"), part(3).alias("state"), cost.alias("cost"), "topology_changes")

@@ -4,7 +4,7 @@ import pytest
 
 from fieldglass.operators import neighbors as merging
 from fieldglass.operators.order import numbered
-from fieldglass.parsers import neighbors
+from fieldglass.parsers import neighbors, switching
 from fieldglass.plans import l2
 
 
@@ -69,3 +69,9 @@ def test_rows_to_number_are_made_once(spark, counted):
     rows = numbered(df, ["scope"], ["o"], rows=10).collect()
     assert sorted((r["o"], r["at"]) for r in rows) == [(i, i) for i in range(50)]
     assert seen.value == 50
+
+
+def test_ports_of_spanning_tree_are_not_split_by_a_pattern_a_block(spark):
+    df = switching.stp_detail(texts(spark, "VLAN0010 is executing x\nNumber of topology changes 3\n Port 1 (Gi0/1, a) of VLAN0010 is root forwarding\n  Port path cost 4\nPort 2 (Gi0/2) of VLAN0010 is alternate blocking"))
+    assert [(r["vlan"], r["interface"], r["role"], r["state"], r["cost"], r["topology_changes"]) for r in df.orderBy("item_ord").collect()] == [(10, "Gi0/1", "root", "forwarding", 4, 3), (10, "Gi0/2", "alternate", "blocking", 0, 3)]
+    assert "split(block" not in df._jdf.queryExecution().optimizedPlan().toString()
