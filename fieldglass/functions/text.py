@@ -63,10 +63,18 @@ def prompt_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(c), "[#>]+$", ""))
 
 
+def trimmed(line: Column) -> Column:
+    """A line without white space at its ends; within lines that is blanks and tabs."""
+    return F.btrim(line, F.lit(" \t"))
+
+
 def spread(text: Column) -> Column:
-    """Tokens between white space of a text whose ends are trimmed."""
-    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
+    """Tokens between white space; a split at one character takes no pattern, which would be compiled for each text."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), r"\R")
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.regexp_like(text, F.lit(r"[\r\x0b\f\x85\u2028\u2029]")), F.split(text, r"\R")).otherwise(F.split(text, "\n"))

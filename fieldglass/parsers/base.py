@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_match, last_match, lines, spread
+from ..functions.text import first_match, last_match, lines, spread, trimmed
 
-__all__ = ["first_match", "last_match", "by_line", "by_block", "by_pattern", "keys_of", "tokens"]
+__all__ = ["first_match", "last_match", "by_line", "by_tokens", "by_block", "by_pattern", "keys_of", "tokens"]
 
 
 def keys_of(df: DataFrame, text: str = "text") -> list[str]:
@@ -19,7 +19,13 @@ def keys_of(df: DataFrame, text: str = "text") -> list[str]:
 def by_line(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line: item_ord, line (as it is) and bare (without white space at its ends)."""
     out = df.select(*keys_of(df, text), F.posexplode(lines(F.col(text))).alias("item_ord", "line"))
-    return out.withColumn("bare", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    return out.withColumn("bare", trimmed(F.col("line")))
+
+
+def by_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each line: item_ord, bare and its tokens t. They are made where lines are cut, as filters would make columns of a select anew at each mention."""
+    cut = F.transform(lines(F.col(text)), lambda x: F.struct(trimmed(x).alias("bare"), tokens(x).alias("t")))
+    return df.select(*keys_of(df, text), F.posexplode(cut).alias("item_ord", "_line")).select(*keys_of(df, text), "item_ord", "_line.bare", "_line.t")
 
 
 def by_block(df: DataFrame, header: str, text: str = "text", outer: str | None = None) -> DataFrame:

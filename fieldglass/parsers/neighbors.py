@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network as net
 from ..functions.text import whole
-from .base import by_block, by_line, first_match, keys_of, last_match, tokens
+from .base import by_block, by_tokens, first_match, keys_of, last_match
 
 L3_FIELDS = ["remote_ip", "remote_device", "local_intf", "protocol", "state"]
 # Flags before NX-OS ARP entries, starts of lines that hold none, and what ends an LLDP description.
@@ -77,7 +77,7 @@ def _null() -> Column:
 
 def ospf(df: DataFrame) -> DataFrame:
     """show ip ospf neighbor: full or up neighbours with an address."""
-    rows = by_line(df).withColumn("t", tokens(F.col("bare")))
+    rows = by_tokens(df)
     state = F.upper(F.get("t", F.lit(2)))
     rows = rows.where((F.size("t") >= 6) & ~F.regexp_like("bare", F.lit("^(?:Neighbor|OSPF|Total)")) & (F.contains(state, F.lit("FULL")) | F.contains(state, F.lit("UP"))) & net.is_ipv4(F.get("t", F.lit(4))))
     return _l3(rows, keys_of(df), F.get("t", F.lit(4)), _null(), F.get("t", F.lit(5)), "OSPF", state)
@@ -85,7 +85,7 @@ def ospf(df: DataFrame) -> DataFrame:
 
 def eigrp(df: DataFrame) -> DataFrame:
     """show ip eigrp neighbors: lines that begin with a number and an address."""
-    rows = by_line(df).withColumn("t", tokens(F.col("bare")))
+    rows = by_tokens(df)
     rows = rows.where((F.size("t") >= 3) & ~F.regexp_like("bare", F.lit("^(?:H |EIGRP|IP-EIGRP)")) & whole(F.get("t", F.lit(0))).isNotNull() & net.is_ipv4(F.get("t", F.lit(1))))
     return _l3(rows, keys_of(df), F.get("t", F.lit(1)), _null(), F.get("t", F.lit(2)), "EIGRP", F.lit("UP"))
 
@@ -103,7 +103,7 @@ def bgp(df: DataFrame) -> DataFrame:
 
 def isis(df: DataFrame) -> DataFrame:
     """show isis neighbors: up neighbours, known by their system id."""
-    rows = by_line(df).withColumn("t", tokens(F.col("bare")))
+    rows = by_tokens(df)
     state = F.upper(F.get("t", F.lit(3)))
     rows = rows.where((F.size("t") >= 4) & ~F.regexp_like("bare", F.lit("^(?:System|IS-IS|Tag)")) & F.contains(state, F.lit("UP")))
     return _l3(rows, keys_of(df), _null(), F.get("t", F.lit(0)), F.get("t", F.lit(1)), "IS-IS", state)
@@ -123,17 +123,18 @@ def l3_neighbors(texts: dict[str, DataFrame]) -> DataFrame | None:
 
 def arp(df: DataFrame) -> DataFrame:
     """ARP tables in three layouts, tried in turn: Internet ip age mac type interface; mac ip name interface; [flag] ip age mac interface."""
-    rows = by_line(df).where((F.col("bare") != "") & ~F.regexp_like("bare", F.lit(f"^(?:{'|'.join(ARP_HEADERS)})"))).withColumn("t", tokens(F.col("bare")))
+    rows = by_tokens(df).where((F.col("bare") != "") & ~F.regexp_like("bare", F.lit(f"^(?:{'|'.join(ARP_HEADERS)})")))
     t = lambda i: F.get("t", F.lit(i) if isinstance(i, int) else i)
     n = F.size("t")
     ios = (n >= 5) & (t(0) == "Internet")
     junos = (n >= 4) & F.contains(t(0), F.lit(":")) & net.is_ipv4(t(1))
     at = F.when(t(0).isin(FLAGS), 1).otherwise(0)
     nxos = (n >= at + 3) & net.is_ipv4(t(at))
-    record = lambda ip, mac, age, intf: F.struct(ip.alias("ip"), mac.alias("mac"), age.alias("age"), F.coalesce(intf, F.lit("")).alias("interface"))
+    record = lambda ip, mac, age, intf: F.array(F.struct(ip.alias("ip"), mac.alias("mac"), age.alias("age"), F.coalesce(intf, F.lit("")).alias("interface")))
     found = (
         F.when(ios, F.when(net.is_ipv4(t(1)), record(t(1), net.mac(t(3)), F.when(t(2) == "-", "0").otherwise(t(2)), t(5))))
         .when(junos, record(t(1), t(0), F.lit("?"), t(3)))
         .when(nxos, record(t(at), net.mac(t(at + 2)), t(at + 1), t(at + 3)))
     )
-    return rows.withColumn("r", found).where("r is not null").select(*keys_of(df), "item_ord", "r.*")
+    # A list of one record or none: a filter would look at all layouts again.
+    return rows.select(*keys_of(df), "item_ord", F.inline(found))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present, whole
-from .base import by_block, by_line, by_pattern, first_match, keys_of, tokens
+from .base import by_block, by_pattern, by_tokens, first_match, keys_of
 
 IP = r"\d+\.\d+\.\d+\.\d+"
 # VRFs for which no commands are sent.
@@ -29,7 +29,7 @@ def ospf_processes(df: DataFrame) -> DataFrame:
 
 def ospf_interfaces(df: DataFrame) -> DataFrame:
     """The first five columns, by place."""
-    rows = by_line(df).withColumn("t", tokens(F.col("line")))
+    rows = by_tokens(df)
     rows = rows.where((F.size("t") >= 5) & ~F.lower(F.get("t", F.lit(0))).startswith("interface"))
     names = ["interface", "area", "cost", "state", "neighbors"]
     return rows.select(*keys_of(df), "item_ord", *[F.get("t", F.lit(i)).alias(n) for i, n in enumerate(names)])

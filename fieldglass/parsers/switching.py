@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import network as net
 from ..functions.text import filled
 from ..operators.rows import last_rows
-from .base import by_block, by_line, by_pattern, keys_of, last_match, tokens
+from .base import by_block, by_line, by_pattern, by_tokens, keys_of, last_match
 
 # States of a gateway protocol.
 STATES = ["Active", "Standby", "Listen", "Init", "Speak"]
@@ -118,7 +118,7 @@ def _vlan_interface(c):
 def hsrp_brief(df: DataFrame) -> DataFrame:
     """show standby brief or show hsrp brief: rows after the header. The state is the first token that names one exactly, else in any case; the last address is the virtual one."""
     after = df.withColumn("text", F.regexp_extract(F.coalesce("text", F.lit("")), r"(?ms)^[^\n]*Interface[^\n]*(?:Grp|Group)[^\n]*\n(.*)", 1))
-    rows = by_line(after).where((F.col("bare") != "") & ~F.regexp_like("bare", F.lit(r"^(?:---|\*:)")) & ~F.regexp_like("bare", F.lit("Interface.*(?:Grp|Group)"))).withColumn("t", tokens(F.col("bare"))).where(F.size("t") >= 5)
+    rows = by_tokens(after).where((F.size("t") >= 5) & ~F.regexp_like("bare", F.lit(r"^(?:---|\*:)")) & ~F.regexp_like("bare", F.lit("Interface.*(?:Grp|Group)")))
     ips = F.filter("t", lambda x: F.regexp_like(x, F.lit(r"^\d+\.\d+\.\d+\.\d+")))
     exact = F.try_element_at(F.filter("t", lambda x: x.isin(STATES)), F.lit(1))
     loose = F.try_element_at(F.filter("t", lambda x: F.lower(x).isin([s.lower() for s in STATES])), F.lit(1))

@@ -75,3 +75,15 @@ def test_ports_of_spanning_tree_are_not_split_by_a_pattern_a_block(spark):
     df = switching.stp_detail(texts(spark, "VLAN0010 is executing x\nNumber of topology changes 3\n Port 1 (Gi0/1, a) of VLAN0010 is root forwarding\n  Port path cost 4\nPort 2 (Gi0/2) of VLAN0010 is alternate blocking"))
     assert [(r["vlan"], r["interface"], r["role"], r["state"], r["cost"], r["topology_changes"]) for r in df.orderBy("item_ord").collect()] == [(10, "Gi0/1", "root", "forwarding", 4, 3), (10, "Gi0/2", "alternate", "blocking", 0, 3)]
     assert "split(block" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_arp_cuts_tokens_once_a_line(spark):
+    text = "IP ARP Table\r\n \t*\t10.1.1.3  00:00:20 \t 0050.56aa.bb03  Eth1/1\t\x0bInternet 10.1.1.1 - 0050.56aa.bb01 ARPA\u0085 \n00:50:56:aa:bb:cc 10.1.1.4 a\u00a0b ge-0/0/1.0\nInternet 10.1.1.256 1 x ARPA y\n10.1.1.5"
+    df = neighbors.arp(texts(spark, text, "", None))
+    assert [(r["item_ord"], r["ip"], r["mac"], r["age"], r["interface"]) for r in df.orderBy("item_ord").collect()] == [
+        (1, "10.1.1.3", "00:50:56:aa:bb:03", "00:00:20", "Eth1/1"),
+        (2, "10.1.1.1", "00:50:56:aa:bb:01", "0", ""),
+        (4, "10.1.1.4", "00:50:56:aa:bb:cc", "?", "ge-0/0/1.0"),
+    ]
+    # Two ways of cutting lines, one of cutting tokens.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
