@@ -75,6 +75,11 @@ def spread(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def lines(text: Column) -> Column:
+def plain_breaks(text: Column) -> Column:
+    """A text, '' for null, whose lines end in line feeds alone."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.regexp_like(text, F.lit(r"[\r\x0b\f\x85\u2028\u2029]")), F.split(text, r"\R")).otherwise(F.split(text, "\n"))
+    return F.when(F.regexp_like(text, F.lit(r"[\r\x0b\f\x85\u2028\u2029]")), F.regexp_replace(text, r"\R", "\n")).otherwise(text)
+
+
+def lines(text: Column) -> Column:
+    return F.split(plain_breaks(text), "\n")

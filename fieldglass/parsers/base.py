@@ -30,8 +30,10 @@ def by_tokens(df: DataFrame, text: str = "text") -> DataFrame:
 
 def by_block(df: DataFrame, header: str, text: str = "text", outer: str | None = None) -> DataFrame:
     """A row for each block that begins with a line that matches the header: item_ord and block. What stands before the first header is left out."""
-    cut = F.split(F.coalesce(text, F.lit("")), rf"(?m)(?=^(?:{header}))")
-    kept = F.filter(cut, lambda b: F.regexp_like(b, F.lit(rf"(?m)\A(?:{header})")))
+    whole = F.coalesce(text, F.lit(""))
+    cut = F.split(whole, rf"(?m)(?=^(?:{header}))")
+    # Every piece but the first begins with a header.
+    kept = F.when(F.regexp_like(whole, F.lit(rf"(?m)\A(?:{header})")), cut).otherwise(F.slice(cut, 2, 1 << 30))
     place = "item_ord" if outer is None else outer
     return df.select(*keys_of(df, text), F.posexplode(kept).alias(place, "block"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import network as net
-from ..functions.text import filled
+from ..functions.text import filled, plain_breaks
 from ..operators.rows import last_rows
-from .base import by_block, by_line, by_pattern, by_tokens, keys_of, last_match
+from .base import by_block, by_pattern, by_tokens, keys_of, last_match, tokens
 
 # States of a gateway protocol.
 STATES = ["Active", "Standby", "Listen", "Init", "Speak"]
@@ -43,12 +43,14 @@ def stp_roots(df: DataFrame) -> DataFrame:
 
 def port_states(df: DataFrame) -> DataFrame:
     """show spanning-tree: role, status and type of each port of a VLAN; the last of a port holds."""
-    b = by_block(df, r"[ \t]*VLAN0*\d+[ \t]*(?:\r?$)")
+    b = by_block(df.withColumn("text", plain_breaks(F.col("text"))), r"[ \t]*VLAN0*\d+[ \t]*$")
     vlan = F.regexp_extract("block", r"^\s*VLAN0*(\d+)", 1)
-    rows = by_line(b.select(*keys_of(df), F.col("item_ord").alias("_block"), vlan.alias("vlan_id"), F.col("block").alias("text")))
-    port = r"^(\S+)\s+(Root|Desg|Altn|Back|Mstr)\s+(\S+)\s+\S+\s+\S+\s+(.*)"
-    part = lambda g: F.regexp_extract("bare", port, g)
-    rows = rows.where(F.regexp_like("bare", F.lit(port))).select(*keys_of(df), "_block", "item_ord", "vlan_id", part(1).alias("interface"), part(2).alias("role"), part(3).alias("status"), F.trim(part(4)).alias("stp_type"))
+    port = r"(?m)^[ \t]*(\S+)[ \t]+(Root|Desg|Altn|Back|Mstr)[ \t]+(\S+)[ \t]+\S+[ \t]+\S+[ \t]+(\S.*?)[ \t]*$"
+    rows = b.select(*keys_of(df), F.col("item_ord").alias("_block"), vlan.alias("vlan_id"), F.posexplode(F.regexp_extract_all("block", F.lit(port), F.lit(0))).alias("item_ord", "_port"))
+    # One match for all fields, each then in a line of its own.
+    fields = F.split(F.regexp_replace("_port", port, "$1\n$2\n$3\n$4"), "\n")
+    part = lambda i: F.get(fields, F.lit(i))
+    rows = rows.select(*keys_of(df), "_block", "item_ord", "vlan_id", part(0).alias("interface"), part(1).alias("role"), part(2).alias("status"), part(3).alias("stp_type"))
     return last_rows(rows, [*keys_of(df), "vlan_id", "interface"], ["_block", "item_ord"]).drop("_block", "item_ord")
 
 
@@ -57,9 +59,9 @@ def blocked_ports(blocked: DataFrame, full: DataFrame | None = None) -> DataFram
     keys = keys_of(blocked)
     # The table begins after the line that names it.
     table = blocked.withColumn("text", F.regexp_extract(F.coalesce("text", F.lit("")), r"(?is)^(?:.*?\n)??[^\n]*(?:Blocked Interfaces|blocked ports)[^\n]*\n(.*)", 1))
-    rows = by_line(table).where((F.col("bare") != "") & ~F.regexp_like("bare", F.lit("^(?:---|Number of blocked)")) & ~F.regexp_like("bare", F.lit("Blocked Interfaces|(?i:blocked ports)")) & F.regexp_like("bare", F.lit(r"^\S+\s+\S")))
-    ports = F.filter(F.split(F.regexp_extract("bare", r"^\S+\s+(.*)$", 1), r"[,\s]+"), lambda x: x != "")
-    rows = rows.select(*keys, F.col("item_ord").alias("_line"), net.vlan_id(F.regexp_extract("bare", r"^(\S+)", 1)).alias("vlan_id"), F.posexplode(ports).alias("_port", "interface"))
+    rows = by_tokens(table).where((F.size("t") >= 2) & ~F.col("bare").startswith("---") & ~F.col("bare").startswith("Number of blocked") & ~F.contains("bare", F.lit("Blocked Interfaces")) & ~F.contains(F.lower("bare"), F.lit("blocked ports")))
+    ports = tokens(F.replace(F.array_join(F.slice("t", 2, F.size("t")), " "), F.lit(","), F.lit(" ")))
+    rows = rows.select(*keys, F.col("item_ord").alias("_line"), net.vlan_id(F.get("t", F.lit(0))).alias("vlan_id"), F.posexplode(ports).alias("_port", "interface"))
     if full is None:
         rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("role", "status", "stp_type")])
     else:

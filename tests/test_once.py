@@ -85,5 +85,18 @@ def test_arp_cuts_tokens_once_a_line(spark):
         (2, "10.1.1.1", "00:50:56:aa:bb:01", "0", ""),
         (4, "10.1.1.4", "00:50:56:aa:bb:cc", "?", "ge-0/0/1.0"),
     ]
-    # Two ways of cutting lines, one of cutting tokens.
-    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
+    # Lines are cut, and tokens are; no filter or layout cuts them again.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
+
+
+def test_blocked_ports_are_looked_up_by_few_patterns(spark):
+    blocked = texts(spark, "Name  Blocked Interfaces List\r\n---- ----\r\n\tVLAN0010\t Gi0/2, Po50,,Gi0/9 \r\nVLAN0020 ,\x0bVLAN0000 Gi0/1\u0085Number of blocked Ports (segments) : 2\nVLAN0030", None)
+    full = texts(spark, "Po50 Desg FWD 1 2.3 P2p *Early\nVLAN0010 \r\n  Spanning tree\r\n\tPo50 \t Altn BLK 1 2.3 P2p *Old\r\nGi0/2 Desg FWD 4 128.1\nPo50 Desg BKN*1 128 4.5 (vPC)  P2p *BA_Inc \t\nGi0/9 Mstr BLK 1 2 Shr\x0b VLAN0000\n Gi0/1 Root FWD 1 2 P2p", "")
+    df = switching.blocked_ports(blocked, full)
+    assert [(r["vlan_id"], r["interface"], r["status"], r["role"], r["reason"]) for r in df.orderBy("item_ord").collect()] == [
+        ("10", "Gi0/2", "BLK", "", ""), ("10", "Po50", "BKN*1", "Desg", "BA_Inc"), ("10", "Gi0/9", "BLK", "Mstr", ""), ("0", "Gi0/1", "FWD", "Root", ""),
+    ]
+    states = switching.port_states(full)
+    assert {(r["vlan_id"], r["interface"]): r["stp_type"] for r in states.collect()} == {("10", "Po50"): "(vPC)  P2p *BA_Inc", ("10", "Gi0/9"): "Shr", ("0", "Gi0/1"): "P2p"}
+    # No filter takes a line's blanks off again for each of its conditions.
+    assert "RLIKE(regexp_replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
