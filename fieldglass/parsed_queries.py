@@ -250,7 +250,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 register("O1_order_of_details", lambda t: numbered(flat.arp_detail(t).select("scan_id", "device", "ip", "place")).select("scan_id", "device", "ip", "number"), with_("arp") + "SELECT scan_id, hostname AS device, ip, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY hostname, item_ord) AS INTEGER) AS number FROM arp")
-register("O2_order_of_vlans", lambda t: numbered(l2.vlan_documentation(t)).select("scan_id", "vlan_id", "number"), with_("roots", "vlan_names") + ", v AS (SELECT scan_id, CAST(substr(vlan_id, 5) AS BIGINT) AS n FROM roots WHERE root_address <> '' UNION SELECT scan_id, CAST(vlan_id AS BIGINT) FROM vlan_names) SELECT scan_id, CAST(n AS VARCHAR) AS vlan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY n) AS INTEGER) AS number FROM v")
+register("O2_order_of_vlans", lambda t: numbered(l2.vlan_places(t)).select("scan_id", "vlan_id", "number"), with_("roots", "vlan_names") + ", v AS (SELECT scan_id, CAST(substr(vlan_id, 5) AS BIGINT) AS n FROM roots WHERE root_address <> '' UNION SELECT scan_id, CAST(vlan_id AS BIGINT) FROM vlan_names) SELECT scan_id, CAST(n AS VARCHAR) AS vlan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY n) AS INTEGER) AS number FROM v")
 register(
     "C27_C32_texts", lambda t: t["devices"].select("scan_id", "hostname", tx.prompt_name(F.concat(F.lit(" "), "hostname", F.lit("#> "))).alias("prompt"), tx.masked(F.col("hostname")).alias("shown"), tx.without_keys(F.concat(F.lit("use key "), "hostname", F.lit(" now"))).alias("bare"), tx.joined(F.array("hostname", F.lit("x"))).alias("listed")),
     with_("devices") + "SELECT scan_id, hostname, hostname AS prompt, right(hostname, 4) AS shown, 'use key <REDACTED> now' AS bare, hostname || ', x' AS listed FROM devices",

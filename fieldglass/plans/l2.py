@@ -17,16 +17,33 @@ VLAN = ["scan_id", "vlan_id"]
 FINDING = ["scan_id", "rule", "seq", "hostname", "severity", "title", "description"]
 
 
+def root_records(t: Tables) -> DataFrame:
+    r = t["stp_vlan.spanning_tree_root"].select("scan_id", "hostname", "device_ord", "item_ord", net.vlan_id(present("vlan_id")).alias("vlan_id"), present("root_address").alias("root_address"), present("root_priority").alias("root_priority"), present("root_cost").alias("root_cost"))
+    return r.where("vlan_id <> '' and root_address <> ''")
+
+
+def name_records(t: Tables) -> DataFrame:
+    v = t["stp_vlan.vlans"].select("scan_id", "hostname", "device_ord", "item_ord", net.vlan_id(present("vlan_id")).alias("vlan_id"), present("name").alias("name"))
+    return v.where("vlan_id <> ''")
+
+
 def roots(t: Tables) -> DataFrame:
     """The last root record of each VLAN and device that names a root."""
-    r = t["stp_vlan.spanning_tree_root"].select("scan_id", "hostname", "device_ord", "item_ord", net.vlan_id(present("vlan_id")).alias("vlan_id"), present("root_address").alias("root_address"), present("root_priority").alias("root_priority"), present("root_cost").alias("root_cost"))
-    return last_values(r.where("vlan_id <> '' and root_address <> ''"), ["scan_id", "vlan_id", "hostname"], ["device_ord", "item_ord"])
+    return last_values(root_records(t), ["scan_id", "vlan_id", "hostname"], ["device_ord", "item_ord"])
 
 
 def names(t: Tables) -> DataFrame:
     """The last name of each VLAN and device."""
-    v = t["stp_vlan.vlans"].select("scan_id", "hostname", "device_ord", "item_ord", net.vlan_id(present("vlan_id")).alias("vlan_id"), present("name").alias("name"))
-    return last_values(v.where("vlan_id <> ''"), ["scan_id", "vlan_id", "hostname"], ["device_ord", "item_ord"])
+    return last_values(name_records(t), ["scan_id", "vlan_id", "hostname"], ["device_ord", "item_ord"])
+
+
+def vlan_place():
+    return F.struct(net.vlan_order(F.col("vlan_id")).alias("o"), "vlan_id").alias("place")
+
+
+def vlan_places(t: Tables) -> DataFrame:
+    """The VLANs that `vlan_documentation` has a row for, each with its place there and nothing else: none of its texts is made."""
+    return root_records(t).select(*VLAN).unionByName(name_records(t).select(*VLAN)).distinct().select(*VLAN, vlan_place())
 
 
 def blocked(t: Tables) -> DataFrame:
